@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,7 +89,7 @@ def padded(lists: pa.ListArray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     if len(flat) and (np.isnan(flat.astype(float)).any() or flat.min() < 0 or flat.max() > unknown):
         raise ValueError("a code lies outside of the model")
-    sizes = np.array([-1 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], int)
+    sizes = np.array([-1 if x is None else x for x in pc.list_value_length(lists).to_pylist()], int)
     width = max(0, sizes.max(initial=0))
     codes = np.full((len(sizes), width), unknown)
     codes[np.arange(width)[None, :] < sizes[:, None]] = flat
@@ -165,7 +166,7 @@ def viterbi_batch(model: Hmm, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.
 
 def _batches(lists: pa.ListArray, cells: int = 2_000_000, states: int = 1) -> Iterator[np.ndarray]:
     """Row numbers in groups of similar length with a bounded number of cells."""
-    sizes = np.array([x or 0 for x in pa.compute.list_value_length(lists).to_pylist()], int)
+    sizes = np.array([x or 0 for x in pc.list_value_length(lists).to_pylist()], int)
     order = np.argsort(sizes, kind="stable")
     at = 0
     while at < len(order):
@@ -238,8 +239,11 @@ def indicators(path: Column, background: list[int]) -> Column:
     return F.transform(path, lambda s: (~s.isin(background)).cast("int"))
 
 
-def sample(spark, model: Hmm, n: int, length: int | Column, seed: int) -> DataFrame:  # noqa: ANN001
-    """``seq_id, states, symbols``: ``n`` sequences drawn from a model by uniforms that depend on seed, sequence and place alone.
+def sample(wanted: DataFrame, model: Hmm, seed: int) -> DataFrame:
+    """``seq_id, states, symbols``: a sequence drawn from a model for each row ``seq_id, length``.
+
+    The uniforms depend on seed, sequence and place alone, not on partitions. A
+    null or negative length counts as 0.
 
     Under order m the context of a symbol is the m symbols drawn before it;
     before there are so many, the missing ones count as symbol 0.
@@ -268,7 +272,5 @@ def sample(spark, model: Hmm, n: int, length: int | Column, seed: int) -> DataFr
 
     none = F.array().cast("array<int>")
     zero = F.struct(F.lit(0).alias("q"), F.lit(0).alias("ctx"), none.alias("states"), none.alias("symbols"))
-    size = F.lit(length) if isinstance(length, int) else length
-    rows = spark.range(n).withColumnRenamed("id", "seq_id").withColumn("_n", size)
-    places = F.when(F.col("_n") > 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(none)
-    return rows.withColumn("s", F.aggregate(places, zero, step)).select("seq_id", "s.states", "s.symbols")
+    places = F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length").cast("int") - 1)).otherwise(none)
+    return wanted.withColumn("s", F.aggregate(places, zero, step)).select("seq_id", "s.states", "s.symbols")

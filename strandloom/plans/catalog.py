@@ -23,8 +23,12 @@ def ship(spark: SparkSession, root: str) -> None:
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    from . import queries as own
+
+    return {f.__name__: f for f in own.ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import oracle
+
+    return oracle.oracle_sql()
