@@ -200,7 +200,7 @@ def pssm_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pssm_max(spark: SparkSession, d: str) -> DataFrame:
-    return pssm.max_scores(views.dna(spark, d), SCORES).select("seq_id", r6("score").alias("score"), "start")
+    return pssm.max_scores(views.dna(spark, d), SCORES).select("seq_id", r6("score").alias("score"), F.coalesce("start", F.lit(-1)).alias("start"))
 
 
 def pssm_both_strands(spark: SparkSession, d: str) -> DataFrame:
