@@ -27,6 +27,11 @@ TAGS = r"(?i)</?[a-z][^<>]*>|\[/?[a-z]{1,10}(?:=[^\]]*)?\]"
 UNSEEN = r"[­​-‏⁠﻿]"
 TOKENS = rf"#stop|[\p{{L}}&&[^{UNSPACED}]][\p{{L}}\p{{M}}&&[^{UNSPACED}]]*(?:['’][\p{{L}}&&[^{UNSPACED}]]+)*|[{UNSPACED}]|\p{{N}}[\p{{N}}.,e%-]*\p{{N}}%?|\p{{N}}%?|[{STOPS}]+|[^\s\p{{L}}\p{{N}}]"
 
+#: Marks at a text's end that only stand for more text (fixed values).
+MARKS = r"(?i)\s*(?:\[(?:\.\.\.|…)\]|\((?:\.\.\.|…|more|continued|cont\.)\)|\[(?:more|truncated)\])$"
+#: The last line of a text that is a record of nucleotides (fixed value).
+RECORD = r"(?i)(?:^|\n)>\S ([acgtn]+)$"
+
 #: Words that stand behind complete posts like a smiley (fixed values).
 SIGNS = ("xd", "lol", "bump", "thx", "edit", "up")
 
@@ -52,15 +57,19 @@ def _is_word(w: Column) -> Column:
 
 
 def endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Texts with what their ends look like: ``key, source, body, marked, words``; blank and null texts are left out.
+    """Texts with what their ends look like: ``key, source, body, said, dotted, words``; blank and null texts are left out.
 
-    ``body`` is the text without white space and continuation dots at its end, ``marked`` tells whether it had such dots.
+    ``body`` is the text without white space, rules and continuation marks at
+    its end; ``said`` tells whether it had a mark that only stands for more
+    text, ``dotted`` whether it had dots, which also end complete posts.
     """
     trimmed = F.regexp_replace(F.col(text), rf"(?i)(?:\s+(?:{'|'.join(SIGNS)}))?\s+$|\s+(?:{'|'.join(SIGNS)})$", "")
     ruled = F.regexp_replace(trimmed, r"\n\s*[-_=*~]{5,}$", "")
-    body = F.regexp_replace(ruled, r"\s*(\.\.\.+|…|\[(?:\.\.\.|…)\]|\((?:\.\.\.|…)\))$", "")
+    said = F.regexp_replace(ruled, MARKS, "")
+    body = F.regexp_replace(said, r"\s*(\.\.\.+|…)$", "")
     return docs.where(F.col(key).isNotNull() & (F.length(trimmed) > 0)).select(
-        F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), body.alias("body"), (F.length(body) < F.length(trimmed)).alias("marked"),
+        F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), body.alias("body"),
+        (F.length(said) < F.length(ruled)).alias("said"), (F.length(body) < F.length(said)).alias("dotted"),
     ).withColumn("words", tokens(F.col("body")))
 
 
@@ -118,7 +127,7 @@ def last_trigrams(texts: DataFrame) -> DataFrame:
     n = F.size("words")
     w = [F.coalesce(F.get("words", n - 1 - p), F.lit("^")) for p in range(6)]
     grams = [F.struct(F.lit(i).alias("shape"), _shape(w, i).alias("gram")) for i in range(len(SHAPES))]
-    ends = texts.where((n > 0) & _is_word(F.get("words", n - 1)) & F.col("body").rlike(r"[\p{L}\p{N}%]$"))
+    ends = texts.where((n > 0) & _is_word(F.get("words", n - 1)) & (F.get("words", n - 1) != "#dna") & F.col("body").rlike(r"[\p{L}\p{N}%]$"))
     return ends.select("key", F.explode(F.array(*grams)).alias("x")).select("key", "x.shape", "x.gram")
 
 
@@ -133,6 +142,13 @@ def half_words(texts: DataFrame, last: DataFrame, counts: DataFrame) -> DataFram
     return ends.join(alone, "key").join(longer, "word").where(F.col("n_longer") >= 10 * (F.col("n_inside") + 1)).select("key").distinct()
 
 
+def short_records(texts: DataFrame) -> Column:
+    """Whether a text ends in a record of nucleotides that is shorter than most such last lines are."""
+    size = F.length(F.regexp_extract("body", RECORD, 1))
+    usual = texts.select(size.alias("n")).where("n > 0").groupBy("n").count().agg(F.max(F.struct("count", "n"))).first()[0]  # one row
+    return size.between(1, (usual["n"] if usual else 0) - 1)
+
+
 def open_markup(body: Column) -> Column:
     """The text ends within a tag, an entity or a BBCode element."""
     return (
@@ -140,17 +156,19 @@ def open_markup(body: Column) -> Column:
         | body.rlike(r"<$|</$|<!-*$")
         | body.rlike(r"(?i)\[/?(?:q(?:u(?:o(?:t(?:e(?:=[^\]\n]*)?)?)?)?)?|s(?:i(?:z(?:e(?:=\d*)?)?)?)?|u(?:r(?:l(?:=[^\]\n]*)?)?)?|i(?:m(?:g)?)?|b|c(?:o(?:d(?:e)?)?)?)?$")
         | body.rlike(r"&(?:#\d{0,5}|[a-z]{1,5})$")
-        | body.rlike(r"(?i)\[(size|url|color|img|font)[^\]]*\](?!.*\[/\1\])[^\n]*$")
-        | body.rlike(r"(?i)<(i|b|a|em|span)(\s[^<>]*)?>(?!.*</\1>)[^\n]*$")
+        | body.rlike(r"(?i)\[(size|url|color|img|font)[^\]]*\](?!.*\[/\1\])[^\n]{0,120}$")
+        | body.rlike(r"(?i)<(i|b|a|em|span)(\s[^<>]*)?>(?!.*</\1>)[^\n.!?<>]{0,60}$")
     )
 
 
 def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Texts that were cut off: ``key, source, reason``.
 
-    ``reason`` is ``limit`` (length of a field's limit), ``markup`` (left
-    open), ``word`` (half a word) or ``sentence`` (trigrams that always go on,
-    or a comma or an opening bracket at the end), the first that holds. Null,
+    ``reason`` is ``limit`` (length of a field's limit, or a mark such as
+    ``[...]`` at the end), ``markup`` (left open), ``word`` (half a word, or a
+    nucleotide record shorter than usual) or ``sentence`` (trigrams that always
+    go on, a comma or an opening bracket at the end, or dots behind a full
+    stop), the first that holds. Null,
     empty and blank texts and rows without a key are never cut; a null source
     is a source of its own; repeated rows of a key give one row. An empty
     table gives no rows.
@@ -171,8 +189,8 @@ def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     )
     hanging = body.rlike(r"[,;(\[{«„–—&]$|\s-$") & ~body.rlike(r"[;:]-?[(]$")
     reason = (
-        F.when(F.col("limit"), "limit").when(open_markup(body), "markup").when(F.col("half"), "word")
-        .when(hanging | (F.col("score") < COMPLETE), "sentence")
+        F.when(F.col("limit") | F.col("said"), "limit").when(open_markup(body), "markup").when(F.col("half") | short_records(texts) | body.endswith("\ufffd"), "word")
+        .when(hanging | (F.col("dotted") & body.rlike(rf"[{STOPS}]$")) | (F.col("score") < COMPLETE), "sentence")
     )
     return flags.select(F.col("key").alias(key), F.col("source").alias(source), reason.alias("reason")).where("reason is not null").dropDuplicates([key])
 
