@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.symbols import log_factorial, reverse_complement
+from ..runtime import stable
 
 CHUNK = 256
 
@@ -75,7 +76,7 @@ def significances(sequences: DataFrame, k: int, log_p: DataFrame | None = None)
 
     A mer's own probability is 0.25**k or comes from ``log_p`` (``mer, lp``).
     """
-    counted = known_only(collapse(known_only(count_mers(sequences, k))))
+    counted = stable(known_only(collapse(known_only(count_mers(sequences, k)))))
     whole = counted.agg(F.sum("total")).first()[0] or 0
     rows = counted.withColumn("lp", F.lit(k) * F.log(F.lit(0.25))) if log_p is None else counted.join(log_p, "mer")
     c, t = F.col("total").cast("double"), F.lit(float(whole))

@@ -15,11 +15,15 @@ from . import infer
 
 def runs(marks: Column) -> Column:
     """Array of structs ``start, end`` of the maximal runs of true in an array of booleans; null counts as false."""
-    on = lambda i: F.coalesce(F.get(marks, i), F.lit(False))
-    places = F.when(F.size(marks) > 0, F.sequence(F.lit(0), F.size(marks) - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(places, lambda i: on(i) & ~on(i - 1))
-    ends = F.transform(F.filter(places, lambda i: on(i) & ~on(i + 1)), lambda i: i + 1)
-    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+    def of(m: Column) -> Column:
+        on = lambda i: F.coalesce(F.get(m, i), F.lit(False))
+        places = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.size(m) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: on(i) & ~on(i - 1))
+        ends = F.transform(F.filter(places, lambda i: on(i) & ~on(i + 1)), lambda i: i + 1)
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+    return F.transform(F.array(marks), of)[0]  # the marks are made once, not for each place
 
 
 def outside(path: Column, background: list[int]) -> Column:

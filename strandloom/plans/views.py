@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.symbols import code_array, text_codes
-from ..runtime import bare, cleaned, once, small, table
+from ..runtime import bare, cleaned, once, small, spread, table
 
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 FLAGS = ("A", "N", "R")
@@ -21,8 +21,8 @@ def _code(c: str, names: tuple[str, ...]) -> Column:
 
 def _ordered(df: DataFrame, key: str, order: list[str], code: Column) -> DataFrame:
     """One row for each key: a sequence is a row, as recursions over it cannot be split."""
-    rows = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("seq_id")).agg(F.sort_array(F.collect_list(F.struct(*order, code.alias("_o")))).alias("xs"))
-    return rows.select("seq_id", F.col("xs._o").alias("obs"))
+    rows = spread(df.where(F.col(key).isNotNull()), key).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, code.alias("_o")))).alias("xs"))
+    return rows.select(F.col(key).cast("bigint").alias("seq_id"), F.col("xs._o").alias("obs"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fasta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq_id, fragment, seq, digits`` of the records, white space removed."""
-    df = once(table(spark, sf_dir, "fasta"), "fasta_id", fill=("fragment",))
+    df = once(spread(table(spark, sf_dir, "fasta"), "fasta_id"), "fasta_id", fill=("fragment",))
     return df.select(F.col("fasta_id").alias("seq_id"), "fragment", bare("sequence").alias("seq")).withColumn("digits", text_codes(F.col("seq")))
 
 
@@ -57,7 +57,7 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq_id, fragment, train, test, digits, obs, path, k`` of the input sequences, unknowns stripped from the ends."""
-    df = once(table(spark, sf_dir, "sequences"), "seq_id", fill=("fragment",))
+    df = once(spread(table(spark, sf_dir, "sequences"), "seq_id"), "seq_id", fill=("fragment",))
     k = table(spark, sf_dir, "fragments").select("fragment", F.col("motif_len").alias("k"))
     digits = text_codes(cleaned("seq"))
     rows = df.select(

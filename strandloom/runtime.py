@@ -26,6 +26,16 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hash-partitioned by its keys into ``spark.sql.shuffle.partitions`` parts.
+
+    For costly work on each row: unlike partitions of an aggregation these are
+    not coalesced when their bytes are few, and an aggregation by the same keys
+    needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def once(df: DataFrame, key: str, loaded: str = "loaded_at", fill: tuple[str, ...] = ()) -> DataFrame:
     """One row for each id: the delivery loaded first.
 
