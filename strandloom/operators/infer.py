@@ -234,6 +234,12 @@ def backward_log_likelihood(sequences: DataFrame, model: Hmm) -> DataFrame:
     return rows.join(first, "seq_id").select("seq_id", F.when(F.size("sums") == 0, 0.0).otherwise(F.log(total) + rest).alias("ll"))
 
 
+def consistent(sequences: DataFrame, model: Hmm, tolerance: float = 1e-6) -> DataFrame:
+    """``seq_id, ok``: whether forward and backward values agree at every place, that is, the posteriors sum to 1."""
+    sums = F.transform("gamma", lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x))
+    return trellis(sequences, model).select("seq_id", F.forall(sums, lambda s: F.abs(s - 1) <= tolerance).alias("ok"))
+
+
 def indicators(path: Column, background: list[int]) -> Column:
     """1 where a path is outside of the background states, else 0."""
     return F.transform(path, lambda s: (~s.isin(background)).cast("int"))

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.symbols import random_sequences
 from ..models.builders import Motif, model_of_mer
 from ..models.hmm import Hmm
 from ..runtime import stable
@@ -122,6 +123,12 @@ def single_gap(sequences: DataFrame, digits: DataFrame, length: int = 9, size: i
     return best, Learned(trained, history[-1], history)
 
 
+def sample_of_mean_length(spark, model: Hmm, n: int, mean: float, seed: int) -> DataFrame:  # noqa: ANN001
+    """``seq_id, states, symbols``: ``n`` drawn sequences with Poisson lengths."""
+    lengths = random_sequences(spark, n, mean, seed).select("seq_id", F.size("obs").alias("length"))
+    return infer.sample(lengths, model, seed)
+
+
 def synthetic(spark, motif: Motif, n: int, length: int, seed: int, p_unknown: float = 0.02) -> DataFrame:  # noqa: ANN001
     """``seq_id, obs, truth``: sequences of a generating model with binding indicators and some symbols unknown."""
     from ..functions.symbols import mask_unknown
@@ -131,4 +138,4 @@ def synthetic(spark, motif: Motif, n: int, length: int, seed: int, p_unknown: fl
     return drawn.select("seq_id", mask_unknown(F.col("symbols"), F.col("seq_id"), seed, p_unknown).alias("obs"), infer.indicators(F.col("states"), motif.background).alias("truth"))
 
 
-__all__ = ["Learned", "find_motifs", "improve", "learn", "learn_several", "seeded", "several_passes", "single_gap", "synthetic"]
+__all__ = ["Learned", "find_motifs", "improve", "learn", "learn_several", "sample_of_mean_length", "seeded", "several_passes", "single_gap", "synthetic"]

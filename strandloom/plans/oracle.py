@@ -214,6 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "forward_loglik": f"{forward(EVENTS, MODEL)} select seq_id, round(ll, 6) ll from ll",
         "forward_loglik_orders": f"{forward(ORDERS, MODEL)} select seq_id, round(ll, 6) ll from ll",
         "backward_loglik": f"{forward(EVENTS, MODEL)}, {backward(MODEL)} select g.seq_id, round(ln(sum(pi.p * b.p * g.x)), 6) ll from g join pi on pi.i = g.i join s on s.seq_id = g.seq_id and s.t = 0 join b on b.i = g.i and b.k = s.o where g.t = 0 group by 1",
+        "trellis_consistency": f"{forward(EVENTS, MODEL)}, {backward(MODEL)} select seq_id, bool_and(abs(x - 1) <= 1e-6) ok from (select f.seq_id, f.t, sum(f.x * g.x) / any_value(exp(ll.ll)) x from f join g using (seq_id, t, i) join ll using (seq_id) group by 1, 2) group by 1",
         "total_loglik": f"{forward(EVENTS, MODEL)} select round(sum(ll), 4) ll, (select count(*) from s where o < 5) n_known, round(sum(ll) / (select count(*) from s where o < 5), 6) ll_per_known from ll",
         "posterior_gamma": f"{forward(ORDERS, MODEL)}, {backward(MODEL)} select f.seq_id, f.t, f.i, round(f.x * g.x / exp(ll.ll), 6) gamma from f join g using (seq_id, t, i) join ll using (seq_id)",
         "viterbi_paths": f"{viterbi(ORDERS, MODEL)} select seq_id, round(log_p, 6) log_p, path from fin join (select seq_id, {text('q')} path from path group by 1) using (seq_id)",

@@ -265,6 +265,10 @@ def backward_loglik(spark: SparkSession, d: str) -> DataFrame:
     return infer.backward_log_likelihood(views.events(spark, d), MODEL).select("seq_id", r6("ll").alias("ll"))
 
 
+def trellis_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return infer.consistent(views.events(spark, d), MODEL)
+
+
 def total_loglik(spark: SparkSession, d: str) -> DataFrame:
     return infer.total_log_likelihood(views.events(spark, d), MODEL).select(F.round("ll", 4).alias("ll"), "n_known", r6("ll_per_known").alias("ll_per_known"))
 
@@ -435,7 +439,7 @@ ALL = (
     order2_codes, order_roundtrip, window_codes, chain_counts, chain_probs, chain_lower_order, chain_eval, chain_eval_cumulative, chain_eval_context,
     kmer_counts, kmer_seq_counts, kmer_revcomp_counts, kmer_top_by_sequences, kmer_most_common, kmer_significance, consensus_codes, consensus_of_customers, consensus_words,
     pssm_scores, pssm_max, pssm_both_strands, pssm_background, pssm_start_value, information_content, logo_heights, emission_entropy, informative_states,
-    forward_loglik, forward_loglik_orders, backward_loglik, total_loglik, posterior_gamma, viterbi_paths, binding_indicators, sampled_sequences,
+    forward_loglik, forward_loglik_orders, backward_loglik, trellis_consistency, total_loglik, posterior_gamma, viterbi_paths, binding_indicators, sampled_sequences,
     bw_estep, bw_iteration, viterbi_counts, kfold_loglik, trained_history,
     site_islands, site_texts, site_files, site_strands, masked_sites, mask_counts, path_edges,
     site_overlaps, site_roc, base_roc, hits_by_fragment, fragment_summary, dataset_sequences, matched_negatives, ranked_fragments,

@@ -275,6 +275,9 @@ def test_sampling(spark, rows):
         for t in range(1, 20):
             pairs[q[t], x[t - 1], x[t]] += 1
     assert np.allclose(pairs / pairs.sum(2, keepdims=True), model.b.reshape(2, 2, 2), atol=0.06)
+    lengths = [len(r["symbols"]) for r in learn.sample_of_mean_length(spark, model, 200, 30, 1).collect()]
+    assert abs(np.mean(lengths) - 30) < 2 and np.std(lengths) > 3
+    assert infer.consistent(drawn.withColumnRenamed("symbols", "obs").withColumn("obs", OrderCodes(2, 1).encode(F.col("obs"))), model).where("ok").count() == 300
     assert infer.sample(wanted.withColumn("length", F.lit(0)), model, 5).first()["symbols"] == []
 
 
