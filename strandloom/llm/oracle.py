@@ -35,7 +35,7 @@ select fasta_id, min(i) span_start, max(i)+40 span_end from h group by fasta_id,
 """
 
 P4 = r"""
-with s as (select seq_id, arg_min(fragment_training_set_filename,loaded_at) tr, arg_min(fragment_test_set_filename,loaded_at) te, arg_min(seq,loaded_at) seq from sequences where seq_id is not null group by 1),
+with s as (select seq_id, nullif(trim(arg_min(fragment_training_set_filename,loaded_at)),'') tr, nullif(trim(arg_min(fragment_test_set_filename,loaded_at)),'') te, arg_min(seq,loaded_at) seq from sequences where seq_id is not null group by 1),
 c as (select seq_id, tr is not null istr, try_cast(regexp_extract(trim(coalesce(tr,te)),'(\d+)\.[^.\\/]*$',1) as int) fold,
  regexp_replace(lower(regexp_replace(seq,'\s','','g')),'^n+|n+$','','g') t from s where coalesce(tr,te) is not null and seq is not null),
 k as (select * from c where fold is not null and length(replace(t,'n',''))>=60),

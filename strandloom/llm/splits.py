@@ -34,10 +34,11 @@ UNKNOWN_SHARE, UNKNOWN_SLACK = 0.10, 0.05
 
 
 def split_of(train: Column, test: Column) -> tuple[Column, Column]:
-    """Role (``train``, ``test``, null) and fold, the number before the file's extension."""
+    """Role (``train``, ``test``, null) and fold, the number before the file's extension; a blank name is none."""
+    train, test = (F.nullif(F.trim(c), F.lit("")) for c in (train, test))
     name = F.coalesce(train, test)
     role = F.when(train.isNotNull(), "train").when(test.isNotNull(), "test")
-    return role, F.regexp_extract(F.trim(name), r"(\d+)\.[^.\\/]*$", 1).try_cast("int")
+    return role, F.regexp_extract(name, r"(\d+)\.[^.\\/]*$", 1).try_cast("int")
 
 
 def most_edits(length: np.ndarray | int, percent: int = 4) -> np.ndarray | int:

@@ -93,14 +93,15 @@ def test_overlapping_splits(spark, rows, monkeypatch, bounds):
             t = t[:90] + "n" * RNG.choice([40, 70]) + t[150:]
         seqs += [(i, f"x/q-trainingset-{i % 3}.fa", None, t), (i + 1, None, f"X\\Q-TESTSET-{i % 3}.FASTA", "nn" + changed(t, RNG.randrange(0, 10)).upper() + "\n")]
         if n == 99:
-            seqs += [(i + 2, "q-1.fa", "", t), (i + 3, f"y-{i % 3}.fa", None, t)]
+            seqs += [(i + 2, " ", "q-1.fa", t), (i + 3, f"y-{i % 3}.fa", None, t)]
         i += 5
     seqs += [(900, None, None, dna(90)), (901, None, "b-1.fa", None), (902, "b-1.fa", None, ""), (903, "nofold.fa", None, dna(80)), (904, None, "c-1.fa", "n" * 80), (905, "c-1.fa", None, "n" * 80)]
     df = spark.createDataFrame(seqs, "seq_id long, tr string, te string, seq string")
     got = rows(splits.overlapping_splits(df, "seq_id", "seq", "tr", "te"), "seq_id_a", "seq_id_b", "distance")
     known = []
     for k, tr, te, t in seqs:
-        name = tr if tr is not None else te
+        tr = (tr or "").strip() or None
+        name = tr or te
         digits = "".join(c for c in (name or "").rpartition("-")[2].split(".")[0] if c.isdigit())
         t = "".join((t or "").split()).lower().strip("n")
         if digits and len(t.replace("n", "")) >= 60:
