@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .hmm import Hmm, Prior, States, as_model
+from .hidden import HiddenModel, Prior, States, as_model
 
 Rows = Sequence[Sequence[float]]
 
@@ -85,7 +85,7 @@ def extend(model: States, extension: States) -> int:
     return s0
 
 
-def with_background(motif: States, entries: Sequence[int], exits: Sequence[int], p_site: float) -> Hmm:
+def with_background(motif: States, entries: Sequence[int], exits: Sequence[int], p_site: float) -> HiddenModel:
     """A motif between visits of a single background state."""
     got = uniform_background(motif.order, 4)
     got.pi[0] = got.parameter(1.0)
@@ -98,7 +98,7 @@ def with_background(motif: States, entries: Sequence[int], exits: Sequence[int],
     return got.model()
 
 
-def motif_model(p_site: float, rows: Rows) -> Hmm:
+def motif_model(p_site: float, rows: Rows) -> HiddenModel:
     """One background state, L forward and L reverse states, numbered along the motif on both strands."""
     n, make = len(rows), Emissions()
     got = make.empty()
@@ -118,11 +118,11 @@ def motif_model(p_site: float, rows: Rows) -> Hmm:
     return got.model()
 
 
-def random_motif_model(p_site: float, length: int, strength: float = 0.01, seed: int = 0) -> Hmm:
+def random_motif_model(p_site: float, length: int, strength: float = 0.01, seed: int = 0) -> HiddenModel:
     return motif_model(p_site, np.random.default_rng(seed).dirichlet(np.full(4, strength), length).tolist())
 
 
-def shifted_motif_model(model: Hmm, offset: int, fill: Sequence[float]) -> Hmm:
+def shifted_motif_model(model: HiddenModel, offset: int, fill: Sequence[float]) -> HiddenModel:
     """The motif moved by ``offset`` places; places that come in have the emissions ``fill``."""
     n = (model.states - 1) // 2
     b, pi = model.b, model.pi
@@ -188,7 +188,7 @@ class Motif:
             for a, b in zip(strand[:-1], strand[1:]):
                 got.link(a, b, on)
 
-    def model(self, rows: Rows | None = None) -> Hmm:
+    def model(self, rows: Rows | None = None) -> HiddenModel:
         rows = self.rows() if rows is None else rows
         if len(rows) != self.places:
             raise ValueError(f"{self.places} rows are needed")
@@ -205,42 +205,42 @@ class Motif:
             got.link(reverse[-1], bg, out)
         return got.model()
 
-    def prior(self, model: Hmm) -> Prior:
+    def prior(self, model: HiddenModel) -> Prior:
         return Prior.around(model, self.prior_strength)
 
-    def matrix(self, model: Hmm) -> np.ndarray:
+    def matrix(self, model: HiddenModel) -> np.ndarray:
         return as_model(model).b[self.mosaics : self.mosaics + self.places, :4]
 
-    def p_binding(self, model: Hmm) -> float:
+    def p_binding(self, model: HiddenModel) -> float:
         return 2 * float(model.a[0, self.mosaics])
 
-    def set_p_binding(self, model: Hmm, p: float) -> None:
+    def set_p_binding(self, model: HiddenModel, p: float) -> None:
         model.set("a", 0, self.mosaics, p / 2)
         model.set("a", 0, 0, 1 - p)
 
-    def shifted(self, model: Hmm, by: int) -> Hmm:
+    def shifted(self, model: HiddenModel, by: int) -> HiddenModel:
         """Emissions moved one place: ``by`` = 1 to the right, -1 to the left; the open place is uniform."""
         old = self.matrix(model)
         new = np.full_like(old, 0.25)
         new[max(0, by) : self.places + min(0, by)] = old[max(0, -by) : self.places + min(0, -by)]
         return self._with(model, new)
 
-    def _with(self, model: Hmm, rows: np.ndarray) -> Hmm:
+    def _with(self, model: HiddenModel, rows: np.ndarray) -> HiddenModel:
         got = model.copy()
         for i, row in enumerate(rows):
             for k in range(got.symbols):
                 got.set("b", self.mosaics + i, k, row[k % 4])
         return got
 
-    def alternatives(self, model: Hmm) -> list[Hmm]:
+    def alternatives(self, model: HiddenModel) -> list[HiddenModel]:
         """The motif moved away from its richer end."""
         rows = self.matrix(model)
         return [self.shifted(model, 1 if information_content(rows[:1]) > information_content(rows[-1:]) else -1)]
 
-    def is_interesting(self, model: Hmm) -> bool:
+    def is_interesting(self, model: HiddenModel) -> bool:
         return information_content(self.matrix(model)) > self.least_information * self.length
 
-    def generator(self, strength: float = 0.05) -> Hmm:
+    def generator(self, strength: float = 0.05) -> HiddenModel:
         """A model to sample from, which starts in the background."""
         got = self.model(self.rows(strength))
         for i in range(self.states):
@@ -279,7 +279,7 @@ class GappedMotif(Motif):
                 got.link(strand[2 * k], strand[2 * k + 2], past)
                 got.link(strand[2 * k + 1], strand[2 * k + 2], on)
 
-    def gap_probability(self, model: Hmm, k: int) -> float:
+    def gap_probability(self, model: HiddenModel, k: int) -> float:
         return float(model.a[self.place(k), self.gap(k)])
 
     def gap_prior(self, k: int, strength: float, p_gap: float = 0.5) -> np.ndarray:
@@ -299,15 +299,15 @@ class GappedMotif(Motif):
             a[i, i] = 1 - a[i].sum()
         return a
 
-    def information_per_base(self, model: Hmm) -> float:
+    def information_per_base(self, model: HiddenModel) -> float:
         rows = self.matrix(model)
         weights = np.array([1.0 if i % 2 == 0 else self.gap_probability(model, i // 2) for i in range(self.places)])
         return float(sum(w * information_content(r[None]) for w, r in zip(weights, rows)) / weights.sum())
 
-    def is_interesting(self, model: Hmm) -> bool:
+    def is_interesting(self, model: HiddenModel) -> bool:
         return self.information_per_base(model) > self.least_information
 
-    def alternatives(self, model: Hmm) -> list[Hmm]:
+    def alternatives(self, model: HiddenModel) -> list[HiddenModel]:
         return []
 
     def rows_with_mer(self, mer: Sequence[int], strength: float = 9.0, dirichlet: float = 10.0) -> list[list[float]]:
@@ -358,17 +358,17 @@ class SingleGap:
                 got.link(n + k + 1, n + k - 1, past)
         return got, [0, 2 * n - 1], [n - 1, n]
 
-    def complete(self, p_gap: float, rows: Rows, p_site: float) -> Hmm:
+    def complete(self, p_gap: float, rows: Rows, p_site: float) -> HiddenModel:
         return with_background(*self.create(p_gap, rows), p_site)
 
-    def emissions_and_gaps(self, model: Hmm, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    def emissions_and_gaps(self, model: HiddenModel, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the places and the probability to visit each."""
         visits = np.ones(self.length)
         visits[self.gap] = model.a[first + self.gap - 1, first + self.gap]
         return model.b[first : first + self.length], visits
 
 
-def model_of_mer(mer: str, length: int, gap: int, p_gap: float = 0.5, p_site: float = 0.01, pseudo: float = 0.4) -> Hmm:
+def model_of_mer(mer: str, length: int, gap: int, p_gap: float = 0.5, p_site: float = 0.01, pseudo: float = 0.4) -> HiddenModel:
     """A start for training a single-gap motif: a mer around the gap with pseudo-counts."""
     known: list[int | None] = ["acgt".index(c) if c in "acgt" else None for c in mer.lower()]
     left = (length - 1 - len(known)) // 2

@@ -26,7 +26,7 @@ def _scaled(rows: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Hmm:
+class HiddenModel:
     theta: np.ndarray
     pi_at: np.ndarray
     a_at: np.ndarray
@@ -120,10 +120,10 @@ class Hmm:
             if not ((x >= 0) & (x <= 1 + tolerance)).all() or not np.allclose(sums, 1, atol=tolerance):
                 raise ValueError("not a distribution")
 
-    def copy(self) -> Hmm:
-        return Hmm(self.theta, self.pi_at, self.a_at, self.b_at, self.order)
+    def copy(self) -> HiddenModel:
+        return HiddenModel(self.theta, self.pi_at, self.a_at, self.b_at, self.order)
 
-    def same_as(self, other: Hmm) -> bool:
+    def same_as(self, other: HiddenModel) -> bool:
         return self.order == other.order and all(np.array_equal(getattr(self, x), getattr(other, x)) for x in ("theta", "pi_at", "a_at", "b_at"))
 
     # ---- storage and export
@@ -132,9 +132,9 @@ class Hmm:
         return json.dumps({"order": self.order, **{x: getattr(self, x).tolist() for x in ("theta", "pi_at", "a_at", "b_at")}})
 
     @staticmethod
-    def from_json(text: str) -> Hmm:
+    def from_json(text: str) -> HiddenModel:
         got = json.loads(text)
-        return Hmm(**{x: np.array(got[x]) for x in ("theta", "pi_at", "a_at", "b_at")}, order=got["order"])
+        return HiddenModel(**{x: np.array(got[x]) for x in ("theta", "pi_at", "a_at", "b_at")}, order=got["order"])
 
     def save(self, path: str, binary: bool = True) -> None:
         """Writes the model as NumPy arrays, or as text."""
@@ -146,12 +146,12 @@ class Hmm:
                 f.write(self.to_json())
 
     @staticmethod
-    def load(path: str, binary: bool = True) -> Hmm:
+    def load(path: str, binary: bool = True) -> HiddenModel:
         if binary:
             with np.load(path) as x:
-                return Hmm(x["theta"], x["pi_at"], x["a_at"], x["b_at"], int(x["order"]))
+                return HiddenModel(x["theta"], x["pi_at"], x["a_at"], x["b_at"], int(x["order"]))
         with open(path) as f:
-            return Hmm.from_json(f.read())
+            return HiddenModel.from_json(f.read())
 
     def table(self, spark: SparkSession, kind: str) -> DataFrame:
         """Probabilities as rows: ``i, p`` of pi, ``i, j, p`` of the structural cells of A, ``i, k, p`` of B."""
@@ -177,15 +177,15 @@ class Prior:
     b: np.ndarray
 
     @staticmethod
-    def none(model: Hmm) -> Prior:
+    def none(model: HiddenModel) -> Prior:
         return Prior(np.zeros(model.states), np.zeros((model.states,) * 2), np.zeros((model.states, model.symbols)))
 
     @staticmethod
-    def around(model: Hmm, strength: float) -> Prior:
+    def around(model: HiddenModel, strength: float) -> Prior:
         """Pseudo-counts in proportion to a model's probabilities."""
         return Prior(strength * model.pi, strength * model.a, strength * model.b)
 
-    def check(self, model: Hmm) -> None:
+    def check(self, model: HiddenModel) -> None:
         if self.pi.shape != (model.states,) or self.a.shape != model.a_at.shape or self.b.shape != model.b_at.shape:
             raise ValueError("the prior does not fit the model")
 
@@ -221,16 +221,16 @@ class States:
     def predecessors(self) -> list[list[int]]:
         return [[i for i, x in enumerate(self.links) if j in x] for j in range(len(self.pi))]
 
-    def model(self) -> Hmm:
+    def model(self) -> HiddenModel:
         n = len(self.pi)
         a = np.full((n, n), -1)
         for i, x in enumerate(self.links):
             for j, p in x.items():
                 a[i, j] = p
-        return Hmm(np.array(self.theta), np.array(self.pi), a, np.array(self.b), self.order)
+        return HiddenModel(np.array(self.theta), np.array(self.pi), a, np.array(self.b), self.order)
 
     @staticmethod
-    def of(model: Hmm) -> States:
+    def of(model: HiddenModel) -> States:
         got = States(model.symbols, model.order)
         got.theta = model.theta.tolist()
         for i in range(model.states):
@@ -240,23 +240,23 @@ class States:
         return got
 
 
-def as_model(x: Hmm | States) -> Hmm:
-    return x if isinstance(x, Hmm) else x.model()
+def as_model(x: HiddenModel | States) -> HiddenModel:
+    return x if isinstance(x, HiddenModel) else x.model()
 
 
-def as_states(x: Hmm | States) -> States:
+def as_states(x: HiddenModel | States) -> States:
     return x if isinstance(x, States) else States.of(x)
 
 
-def dense(pi: np.ndarray, a: np.ndarray, b: np.ndarray, order: int = 0) -> Hmm:
+def dense(pi: np.ndarray, a: np.ndarray, b: np.ndarray, order: int = 0) -> HiddenModel:
     """A model with a parameter of its own for each cell."""
     pi, a, b = (np.asarray(x, float) for x in (pi, a, b))
     n, m = b.shape
     theta = np.concatenate([pi, a.ravel(), b.ravel()])
-    return Hmm(theta, np.arange(n), n + np.arange(n * n).reshape(n, n), n + n * n + np.arange(n * m).reshape(n, m), order)
+    return HiddenModel(theta, np.arange(n), n + np.arange(n * n).reshape(n, n), n + n * n + np.arange(n * m).reshape(n, m), order)
 
 
-def random_dense(states: int, symbols: int, order: int = 0, seed: int = 0) -> Hmm:
+def random_dense(states: int, symbols: int, order: int = 0, seed: int = 0) -> HiddenModel:
     """A fully connected model with Dirichlet(1) draws."""
     rng = np.random.default_rng(seed)
     k = alphabet_of(symbols, order)

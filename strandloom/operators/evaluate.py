@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..models.builders import Motif
-from ..models.hmm import Hmm
+from ..models.hidden import HiddenModel
 from . import infer
 
 #: Places that a bin of the interval join holds.
@@ -74,7 +74,7 @@ def is_hit(path: Column, background: list[int], length: int) -> Column:
     return F.size(F.filter(path, lambda s: ~s.isin(background))) > length // 2
 
 
-def hits(sequences: DataFrame, models: list[tuple[Hmm, list[int], int]]) -> DataFrame:
+def hits(sequences: DataFrame, models: list[tuple[HiddenModel, list[int], int]]) -> DataFrame:
     """``seq_id, hit``: whether any of the models (with background states and motif length) hits the sequence."""
     if not models:
         return sequences.select("seq_id", F.lit(False).alias("hit"))
@@ -93,7 +93,7 @@ def sweep(high: float = 0.1, low: float = 0.0001, n: int = 16) -> list[float]:
     return [high * (low / high) ** (i / n) for i in range(n)]
 
 
-def roc_sweep(sequences: DataFrame, motif: Motif, model: Hmm, truth: str, values: list[float]) -> DataFrame:
+def roc_sweep(sequences: DataFrame, motif: Motif, model: HiddenModel, truth: str, values: list[float]) -> DataFrame:
     """``p, tp, tn, fp, fn`` of hits with the binding probability set to each value; ``sequences`` has the column ``truth``."""
     parts = []
     for p in values:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..models.hmm import Hmm
+from ..models.hidden import HiddenModel
 
 #: States up to which the likelihood is a native fold.
 FOLD_STATES = 8
@@ -35,7 +35,7 @@ def integral(sequences: DataFrame, column: str = "obs") -> DataFrame:
     return sequences.withColumn(column, F.col(column).cast("array<int>"))
 
 
-def log_likelihood(obs: Column, model: Hmm) -> Column:
+def log_likelihood(obs: Column, model: HiddenModel) -> Column:
     """Forward log-likelihood as a fold over the array, scaled at every step."""
     pi, a, b = model.pi, model.a, model.b_unknown
     n = model.states
@@ -64,14 +64,14 @@ def log_likelihood(obs: Column, model: Hmm) -> Column:
     return F.when(F.size(obs) == 0, 0.0).when(F.size(obs) > 0, F.aggregate(F.slice(obs, 2, F.size(obs)), start, step, lambda s: s["ll"]))
 
 
-def log_likelihoods(sequences: DataFrame, model: Hmm) -> DataFrame:
+def log_likelihoods(sequences: DataFrame, model: HiddenModel) -> DataFrame:
     """``seq_id, ll``."""
     if model.states <= FOLD_STATES:
         return integral(sequences).select("seq_id", log_likelihood(F.col("obs"), model).alias("ll"))
     return trellis(sequences, model).select("seq_id", "ll")
 
 
-def total_log_likelihood(sequences: DataFrame, model: Hmm) -> DataFrame:
+def total_log_likelihood(sequences: DataFrame, model: HiddenModel) -> DataFrame:
     """One row ``ll, n_known, ll_per_known``: the collection's log-likelihood, also for each known symbol."""
     lls = log_likelihoods(sequences.select("seq_id", "obs"), model) if model.states > FOLD_STATES else sequences.select("obs", log_likelihood(F.col("obs"), model).alias("ll"))
     if model.states <= FOLD_STATES:
@@ -96,7 +96,7 @@ def padded(lists: pa.ListArray, unknown: int) -> tuple[np.ndarray, np.ndarray]:
     return codes, sizes
 
 
-def forward_batch(model: Hmm, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forward_batch(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Scaled alpha (row, time, state) and sums s (row, time), 1 behind a sequence's end."""
     pi, a, emit = model.pi, model.a, model.b_unknown.T
     rows, width = codes.shape
@@ -110,7 +110,7 @@ def forward_batch(model: Hmm, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return alpha, sums
 
 
-def backward_batch(model: Hmm, codes: np.ndarray, sizes: np.ndarray, sums: np.ndarray) -> np.ndarray:
+def backward_batch(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """beta scaled by the forward sums, so that alpha * beta is the posterior."""
     a, emit = model.a, model.b_unknown.T
     rows, width = codes.shape
@@ -124,7 +124,7 @@ def backward_batch(model: Hmm, codes: np.ndarray, sizes: np.ndarray, sums: np.nd
     return beta
 
 
-def viterbi_batch(model: Hmm, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[list[int] | None]]:
+def viterbi_batch(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[list[int] | None]]:
     """Log-probabilities and states of the best paths.
 
     Of equal predecessors the highest counts, of equal last states the lowest.
@@ -177,7 +177,7 @@ def _batches(lists: pa.ListArray, cells: int = 2_000_000, states: int = 1) -> It
         at = to
 
 
-def best_paths(sequences: DataFrame, model: Hmm) -> DataFrame:
+def best_paths(sequences: DataFrame, model: HiddenModel) -> DataFrame:
     """``seq_id, log_p, path``."""
     kind = dict(sequences.dtypes)["seq_id"]
 
@@ -193,7 +193,7 @@ def best_paths(sequences: DataFrame, model: Hmm) -> DataFrame:
     return integral(sequences).select("seq_id", "obs").mapInArrow(run, f"seq_id {kind}, log_p double, path array<int>")
 
 
-def trellis(sequences: DataFrame, model: Hmm) -> DataFrame:
+def trellis(sequences: DataFrame, model: HiddenModel) -> DataFrame:
     """``seq_id, ll, alpha, beta, gamma, sums``: scaled forward and backward values, posteriors and scale sums, as arrays over time (and state)."""
     kind = dict(sequences.dtypes)["seq_id"]
 
@@ -217,13 +217,13 @@ def trellis(sequences: DataFrame, model: Hmm) -> DataFrame:
     return integral(sequences).select("seq_id", "obs").mapInArrow(run, f"seq_id {kind}, ll double, alpha {wide}, beta {wide}, gamma {wide}, sums array<double>")
 
 
-def posteriors(sequences: DataFrame, model: Hmm) -> DataFrame:
+def posteriors(sequences: DataFrame, model: HiddenModel) -> DataFrame:
     """``seq_id, t, i, gamma``: probability of state i at place t."""
     rows = trellis(sequences, model).select("seq_id", F.posexplode("gamma").alias("t", "g"))
     return rows.select("seq_id", "t", F.posexplode("g").alias("i", "gamma"))
 
 
-def backward_log_likelihood(sequences: DataFrame, model: Hmm) -> DataFrame:
+def backward_log_likelihood(sequences: DataFrame, model: HiddenModel) -> DataFrame:
     """``seq_id, ll`` from the backward values alone: ln of sum of pi b beta at the start, with the scale sums."""
     pi, emit = model.pi, model.b_unknown
     first = sequences.select("seq_id", F.get("obs", F.lit(0)).alias("o"))
@@ -234,7 +234,7 @@ def backward_log_likelihood(sequences: DataFrame, model: Hmm) -> DataFrame:
     return rows.join(first, "seq_id").select("seq_id", F.when(F.size("sums") == 0, 0.0).otherwise(F.log(total) + rest).alias("ll"))
 
 
-def consistent(sequences: DataFrame, model: Hmm, tolerance: float = 1e-6) -> DataFrame:
+def consistent(sequences: DataFrame, model: HiddenModel, tolerance: float = 1e-6) -> DataFrame:
     """``seq_id, ok``: whether forward and backward values agree at every place, that is, the posteriors sum to 1."""
     sums = F.transform("gamma", lambda g: F.aggregate(g, F.lit(0.0), lambda s, x: s + x))
     return trellis(sequences, model).select("seq_id", F.forall(sums, lambda s: F.abs(s - 1) <= tolerance).alias("ok"))
@@ -245,7 +245,7 @@ def indicators(path: Column, background: list[int]) -> Column:
     return F.transform(path, lambda s: (~s.isin(background)).cast("int"))
 
 
-def sample(wanted: DataFrame, model: Hmm, seed: int) -> DataFrame:
+def sample(wanted: DataFrame, model: HiddenModel, seed: int) -> DataFrame:
     """``seq_id, states, symbols``: a sequence drawn from a model for each row ``seq_id, length``.
 
     The uniforms depend on seed, sequence and place alone, not on partitions. A

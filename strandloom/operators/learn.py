@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from ..functions.symbols import random_sequences
 from ..models.builders import Motif, model_of_mer
-from ..models.hmm import Hmm
+from ..models.hidden import HiddenModel
 from ..runtime import stable
 from . import infer, kmers, pssm, sites, train
 
 
 @dataclass
 class Learned:
-    model: Hmm
+    model: HiddenModel
     ll: float
     history: list[float]
 
@@ -71,9 +71,9 @@ def learn_several(sequences: DataFrame, motif: Motif, find: int = 3, attempts: i
     return got, sequences
 
 
-def find_motifs(sequences: DataFrame, learn_one: Callable[[DataFrame], Hmm], interesting: Callable[[Hmm], bool], blank: Callable[[DataFrame, Hmm], DataFrame], find: int, attempts: int) -> list[Hmm]:
+def find_motifs(sequences: DataFrame, learn_one: Callable[[DataFrame], HiddenModel], interesting: Callable[[HiddenModel], bool], blank: Callable[[DataFrame, HiddenModel], DataFrame], find: int, attempts: int) -> list[HiddenModel]:
     """The general loop: learn, judge, blank."""
-    got: list[Hmm] = []
+    got: list[HiddenModel] = []
     for _ in range(attempts):
         if len(got) == find:
             break
@@ -84,7 +84,7 @@ def find_motifs(sequences: DataFrame, learn_one: Callable[[DataFrame], Hmm], int
     return got
 
 
-def several_passes(sequences: DataFrame, one_pass: Callable[[DataFrame], Hmm], remove: Callable[[DataFrame, Hmm], DataFrame], passes: int) -> list[Hmm]:
+def several_passes(sequences: DataFrame, one_pass: Callable[[DataFrame], HiddenModel], remove: Callable[[DataFrame, HiddenModel], DataFrame], passes: int) -> list[HiddenModel]:
     """``passes`` models, each learned after the sites of those before were removed."""
     return find_motifs(sequences, one_pass, lambda m: True, remove, passes, passes)
 
@@ -123,7 +123,7 @@ def single_gap(sequences: DataFrame, digits: DataFrame, length: int = 9, size: i
     return best, Learned(trained, history[-1], history)
 
 
-def sample_of_mean_length(spark, model: Hmm, n: int, mean: float, seed: int) -> DataFrame:  # noqa: ANN001
+def sample_of_mean_length(spark, model: HiddenModel, n: int, mean: float, seed: int) -> DataFrame:  # noqa: ANN001
     """``seq_id, states, symbols``: ``n`` drawn sequences with Poisson lengths."""
     lengths = random_sequences(spark, n, mean, seed).select("seq_id", F.size("obs").alias("length"))
     return infer.sample(lengths, model, seed)

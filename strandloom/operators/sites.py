@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..models.hmm import Hmm
+from ..models.hidden import HiddenModel
 from . import infer
 
 
@@ -74,18 +74,18 @@ def mask_counts(decoded: DataFrame, states: list[int], starts: list[int]) -> Dat
     return decoded.select("path").agg(n(starts).alias("n_sites"), n(states).alias("n_symbols"))
 
 
-def decode(sequences: DataFrame, model: Hmm) -> DataFrame:
+def decode(sequences: DataFrame, model: HiddenModel) -> DataFrame:
     """``seq_id, obs, path, log_p``; the path is computed beside its sequence, without a join."""
     packed = sequences.select(F.struct("seq_id", "obs").alias("seq_id"), "obs")
     return infer.best_paths(packed, model).select("seq_id.seq_id", "seq_id.obs", "path", "log_p")
 
 
-def predict(sequences: DataFrame, model: Hmm, background: list[int]) -> DataFrame:
+def predict(sequences: DataFrame, model: HiddenModel, background: list[int]) -> DataFrame:
     """``seq_id, pred``: 1 for every symbol of a predicted site."""
     return infer.best_paths(sequences, model).select("seq_id", infer.indicators(F.col("path"), background).alias("pred"))
 
 
-def analyse(sequences: DataFrame, model: Hmm, background: list[int], reverse_of: dict[int, int] | None = None, blank: bool = False) -> tuple[DataFrame, DataFrame]:
+def analyse(sequences: DataFrame, model: HiddenModel, background: list[int], reverse_of: dict[int, int] | None = None, blank: bool = False) -> tuple[DataFrame, DataFrame]:
     """Sites of all sequences, and the sequences, with the sites made unknown if wanted."""
     decoded = decode(sequences, model)
     found = find_sites(decoded, background, reverse_of)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..models.hmm import Hmm, Prior
+from ..models.hidden import HiddenModel, Prior
 from . import infer
 
 CELLS = "part string, cell int, value double"
@@ -36,7 +36,7 @@ class Sums:
     impossible: int
 
 
-def _expected(model: Hmm, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+def _expected(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
     n, m = model.states, model.symbols
     alpha, sums = infer.forward_batch(model, codes, sizes)
     with np.errstate(divide="ignore"):
@@ -56,7 +56,7 @@ def _expected(model: Hmm, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
     return pi, a * model.a, b[:m].T, float(ll[sizes >= 0].sum()), int((~np.isfinite(ll)).sum())
 
 
-def _hard(model: Hmm, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
+def _hard(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, int]:
     n, m = model.states, model.symbols
     scores, paths = infer.viterbi_batch(model, codes, sizes)
     pi, a, b = np.zeros(n), np.zeros((n, n)), np.zeros((n, m))
@@ -70,7 +70,7 @@ def _hard(model: Hmm, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray,
     return pi, a, b, float(scores[sizes >= 0].sum()), sum(p is None and s > 0 for p, s in zip(paths, sizes))
 
 
-def partial_sums(sequences: DataFrame, model: Hmm, hard: bool = False) -> DataFrame:
+def partial_sums(sequences: DataFrame, model: HiddenModel, hard: bool = False) -> DataFrame:
     """``part, cell, value``: sums over all sequences of starts (``pi``), transitions (``a``), emissions (``b``), objective (``ll``) and sequences left out (``bad``)."""
     kernel = _hard if hard else _expected
 
@@ -87,7 +87,7 @@ def partial_sums(sequences: DataFrame, model: Hmm, hard: bool = False) -> DataFr
     return infer.integral(sequences).select("obs").mapInArrow(run, CELLS).groupBy("part", "cell").agg(F.sum("value").alias("value"))
 
 
-def estimate(sequences: DataFrame, model: Hmm, hard: bool = False) -> Sums:
+def estimate(sequences: DataFrame, model: HiddenModel, hard: bool = False) -> Sums:
     """The E-step (or counts along the best paths)."""
     n, m = model.states, model.symbols
     got = {k: np.zeros(s) for k, s in (("pi", n), ("a", n * n), ("b", n * m), ("ll", 1), ("bad", 1))}
@@ -96,7 +96,7 @@ def estimate(sequences: DataFrame, model: Hmm, hard: bool = False) -> Sums:
     return Sums(got["pi"], got["a"].reshape(n, n), got["b"].reshape(n, m), float(got["ll"][0]), int(got["bad"][0]))
 
 
-def maximise(model: Hmm, sums: Sums, prior: Prior | None = None) -> Hmm:
+def maximise(model: HiddenModel, sums: Sums, prior: Prior | None = None) -> HiddenModel:
     """The M-step: each parameter is the sum over its cells by the sum over their distributions.
 
     A parameter whose distributions have no counts keeps its value.
@@ -119,15 +119,15 @@ def maximise(model: Hmm, sums: Sums, prior: Prior | None = None) -> Hmm:
     return got
 
 
-def iterate(sequences: DataFrame, model: Hmm, prior: Prior | None = None, hard: bool = False) -> tuple[Hmm, float]:
+def iterate(sequences: DataFrame, model: HiddenModel, prior: Prior | None = None, hard: bool = False) -> tuple[HiddenModel, float]:
     """One iteration: the new model and the objective of the old one."""
     sums = estimate(sequences, model, hard)
     return maximise(model, sums, prior), sums.ll
 
 
 def train(
-    sequences: DataFrame, model: Hmm, prior: Prior | None = None, hard: bool = False, most: int = 0, tolerance: float = 1e-5, each: Callable[[int, float], bool | None] | None = None
-) -> tuple[Hmm, list[float]]:
+    sequences: DataFrame, model: HiddenModel, prior: Prior | None = None, hard: bool = False, most: int = 0, tolerance: float = 1e-5, each: Callable[[int, float], bool | None] | None = None
+) -> tuple[HiddenModel, list[float]]:
     """Iterates until the objective changes by ``tolerance`` at most; the model and the objectives, each from before its update.
 
     ``most`` caps the iterations (0: no cap). ``each`` is called with the
@@ -168,7 +168,7 @@ def fold_of(index, folds: int):  # noqa: ANN001, ANN201
     return F.pmod(index, F.lit(folds))
 
 
-def cross_validated(sequences: DataFrame, model: Hmm, folds: int, most: int = 3, prior: Prior | None = None) -> DataFrame:
+def cross_validated(sequences: DataFrame, model: HiddenModel, folds: int, most: int = 3, prior: Prior | None = None) -> DataFrame:
     """``fold, ll, n_known, ll_per_known`` of each fold (``seq_id`` modulo ``folds``) under a model trained on the others."""
     parts = []
     for k in range(folds):
@@ -181,18 +181,18 @@ def cross_validated(sequences: DataFrame, model: Hmm, folds: int, most: int = 3,
     return got.select("fold", "ll", "n_known", "ll_per_known")
 
 
-def log_parameters(model: Hmm) -> np.ndarray:
+def log_parameters(model: HiddenModel) -> np.ndarray:
     with np.errstate(divide="ignore"):
         return np.log(model.theta)
 
 
-def with_log_parameters(model: Hmm, values: np.ndarray) -> Hmm:
+def with_log_parameters(model: HiddenModel, values: np.ndarray) -> HiddenModel:
     got = model.copy()
     got.theta = np.exp(values)
     return got
 
 
-def optimise(sequences: DataFrame, model: Hmm, which: list[int], steps: int = 60, size: float = 0.5) -> tuple[Hmm, float]:
+def optimise(sequences: DataFrame, model: HiddenModel, which: list[int], steps: int = 60, size: float = 0.5) -> tuple[HiddenModel, float]:
     """Maximises the log-likelihood over chosen parameters in logit space, by a simplex search on the driver.
 
     Every evaluation is one distributed job; a model without a finite
@@ -201,7 +201,7 @@ def optimise(sequences: DataFrame, model: Hmm, which: list[int], steps: int = 60
     logit = lambda p: np.log(p / (1 - p))
     at = np.array(which)
 
-    def placed(x: np.ndarray) -> Hmm:
+    def placed(x: np.ndarray) -> HiddenModel:
         got = model.copy()
         got.theta[at] = 1 / (1 + np.exp(-np.clip(x, -36, 36)))
         return got

@@ -10,7 +10,7 @@ import math
 
 import numpy as np
 
-from ..models.hmm import Hmm
+from ..models.hidden import HiddenModel
 from ..operators.pssm import complementary, log_scores, matrices_of_mer
 from .queries import MER, MODEL, MOTIF, ROWS, SEED
 
@@ -47,14 +47,14 @@ def values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(repr(x) if not isinstance(x, float) else f"{x!r}::double" for x in r) + ")" for r in rows)
 
 
-def model_tables(m: Hmm) -> str:
+def model_tables(m: HiddenModel) -> str:
     pi = values([(i, float(p)) for i, p in enumerate(m.pi)])
     a = values([(i, j, float(m.a[i, j])) for i in range(m.states) for j in range(m.states) if m.a_at[i, j] >= 0])
     b = values([(i, k, float(m.b_unknown[i, k])) for i in range(m.states) for k in range(m.symbols + 1)])
     return f"pi(i, p) as (values {pi}), a(i, j, p) as (values {a}), b(i, k, p) as (values {b})"
 
 
-def forward(view: str, m: Hmm) -> str:
+def forward(view: str, m: HiddenModel) -> str:
     return f"""with recursive s as materialized ({view}), {model_tables(m)}, last as (select seq_id, max(t) t from s group by 1),
 f(seq_id, t, i, x) as (
  select s.seq_id, 0, pi.i, pi.p * b.p from s, pi, b where s.t = 0 and b.i = pi.i and b.k = s.o
@@ -63,14 +63,14 @@ f(seq_id, t, i, x) as (
 ll as (select f.seq_id, ln(sum(x)) ll from f join last using (seq_id, t) group by 1)"""
 
 
-def backward(m: Hmm) -> str:
+def backward(m: HiddenModel) -> str:
     return """g(seq_id, t, i, x) as (
  select last.seq_id, last.t, pi.i, 1::double from last, pi
  union all
  select s.seq_id, g.t - 1, a.i, sum(a.p * b.p * g.x) from g join s on s.seq_id = g.seq_id and s.t = g.t and g.t > 0 join a on a.j = g.i join b on b.i = g.i and b.k = s.o group by s.seq_id, g.t, a.i)"""
 
 
-def viterbi(view: str, m: Hmm) -> str:
+def viterbi(view: str, m: HiddenModel) -> str:
     return f"""with recursive s as materialized ({view}), {model_tables(m)}, last as (select seq_id, max(t) t from s group by 1),
 v(seq_id, t, i, x, psi) as (
  select s.seq_id, 0, pi.i, ln(pi.p) + ln(b.p), -1 from s, pi, b where s.t = 0 and b.i = pi.i and b.k = s.o and pi.p > 0 and b.p > 0

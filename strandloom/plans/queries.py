@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import consensus, symbols
 from ..functions.order import OrderCodes
 from ..models.builders import motif_model
-from ..models.hmm import dense
+from ..models.hidden import dense
 from ..operators import chain, evaluate, infer, kmers, pssm, sites, train
 from ..sources import fasta as fasta_source
 from ..sources import tables

@@ -8,10 +8,10 @@ from pathlib import Path
 
 import numpy as np
 
-from ..models.hmm import Hmm, dense
+from ..models.hidden import HiddenModel, dense
 
 
-def read_text(lines: Iterable[str], order: int = 0) -> Hmm:
+def read_text(lines: Iterable[str], order: int = 0) -> HiddenModel:
     """A model of lines ``MODEL:N,M``, ``TRANSITION:i;j;p`` and ``EMISSIONS:i;b1,...,bM``.
 
     ``#`` begins a comment; every state starts with the same probability. Other
@@ -41,7 +41,7 @@ def read_text(lines: Iterable[str], order: int = 0) -> Hmm:
     return got
 
 
-def text_lines(model: Hmm, keep: Callable[[int], bool] = lambda s: True) -> list[str]:
+def text_lines(model: HiddenModel, keep: Callable[[int], bool] = lambda s: True) -> list[str]:
     """The model in the same format; states that are not kept are left out and the others renumbered."""
     states = [s for s in range(model.states) if keep(s)]
     number = {s: i for i, s in enumerate(states)}
@@ -54,15 +54,15 @@ def text_lines(model: Hmm, keep: Callable[[int], bool] = lambda s: True) -> list
 class BackgroundModels:
     """Models kept in memory and in a folder, made by ``train(order, mosaics, dataset)`` when missing."""
 
-    def __init__(self, folder: str, train: Callable[[int, int, str], Hmm]) -> None:
+    def __init__(self, folder: str, train: Callable[[int, int, str], HiddenModel]) -> None:
         self.folder, self.train, self.known = Path(folder), train, {}
 
-    def get(self, order: int, mosaics: int, dataset: str) -> Hmm:
+    def get(self, order: int, mosaics: int, dataset: str) -> HiddenModel:
         key = (order, mosaics, dataset)
         if key not in self.known:
             path = self.folder / f"{dataset}-{order}-{mosaics}.json"
             if path.exists():
-                self.known[key] = Hmm.from_json(path.read_text())
+                self.known[key] = HiddenModel.from_json(path.read_text())
             else:
                 self.known[key] = self.train(*key)
                 os.makedirs(self.folder, exist_ok=True)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState
 
-from ..models.hmm import Hmm
+from ..models.hidden import HiddenModel
 
 
 def kmers_of_stream(events: DataFrame, k: int) -> DataFrame:
@@ -33,7 +33,7 @@ def kmers_of_stream(events: DataFrame, k: int) -> DataFrame:
     return mers.groupBy("mer").count().withColumnRenamed("count", "total")
 
 
-def likelihood_of_stream(events: DataFrame, model: Hmm) -> DataFrame:
+def likelihood_of_stream(events: DataFrame, model: HiddenModel) -> DataFrame:
     """Streams ``seq_id, at, sym`` (codes) to ``seq_id, n, ll``: events so far and their log-likelihood, once for each batch and sequence."""
     pi, a, emit = model.pi, model.a, model.b_unknown.T
 

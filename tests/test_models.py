@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.order import OrderCodes
 from strandloom.models import builders
-from strandloom.models.hmm import Hmm, Prior, States, as_model, as_states, dense, normalise_parameters, random_dense
+from strandloom.models.hidden import HiddenModel, Prior, States, as_model, as_states, dense, normalise_parameters, random_dense
 from strandloom.operators import infer, learn, sites, train
 from strandloom.sources import models as texts
 
@@ -216,7 +216,7 @@ def test_storage(tmp_path, order):
     model = random_dense(3, 4 ** (order + 1), order)
     for binary in (True, False):
         model.save(str(tmp_path / "m"), binary)
-        assert Hmm.load(str(tmp_path / "m"), binary).same_as(model)
+        assert HiddenModel.load(str(tmp_path / "m"), binary).same_as(model)
     assert pickle.loads(pickle.dumps(model)).same_as(model)
     assert as_model(as_states(model)).same_as(model)
 

@@ -110,7 +110,7 @@ def test_streams(spark, tmp_path):
 
     mers = run(online.kmers_of_stream(stream, 2), "mers", "complete")
     assert {r["mer"]: r["total"] for r in mers.collect()} in ({"ac": 2, "ca": 2}, {"ac": 3, "ca": 1}) or sum(r["total"] for r in mers.collect()) == 4
-    from strandloom.models.hmm import dense
+    from strandloom.models.hidden import dense
     from strandloom.operators import infer
 
     model = dense([0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]], [[0.5, 0.5], [0.1, 0.9]])
