@@ -52,5 +52,29 @@ select '_k_mers' field, mer from b where mer is not null group by mer having cou
 union all select 'total', mer from e where mer is not null group by mer having sum(t)>=0.005*(select sum(t) from e)
 """
 
+P3_SHARE = f"""
+with spans as ({P3}), r as (select fasta_id, coalesce(length(lower(regexp_replace(arg_min(sequence,loaded_at),'\\s','','g'))),0) n from fasta where fasta_id is not null group by 1),
+c as (select fasta_id, sum(span_end-span_start) m from spans group by 1)
+select fasta_id, n n_symbols, coalesce(m,0)::bigint n_shared, case when n>0 then round(coalesce(m,0)/n,6) end share from r left join c using (fasta_id)
+"""
+
+P4_REPORT = f"""
+with pairs as ({P4}), hit as (select seq_id_a x from pairs union select seq_id_b from pairs),
+t as (select seq_id, max(upper(trim(fragment))) fragment, nullif(trim(arg_min(fragment_training_set_filename,loaded_at)),'') tr, nullif(trim(arg_min(fragment_test_set_filename,loaded_at)),'') te from sequences where seq_id is not null group by 1)
+select try_cast(regexp_extract(te,'(\\d+)\\.[^.\\\\/]*$',1) as int) fold, fragment, count(*) n_test, count(hit.x) n_leaked from t left join hit on hit.x=t.seq_id where tr is null and te is not null group by 1,2
+"""
+
+P5_COUNTS = """
+with a as (select call_id, lower(trim(arg_min(_k_mers,loaded_at))) m from top_mers_callback group by 1),
+b as (select case when regexp_full_match(m,'[acgt]+') then least(m, reverse(translate(m,'acgt','tgca'))) end mer from a),
+c as (select mer_count_id, lower(trim(arg_min(mer,loaded_at))) m, coalesce(arg_min(total,loaded_at),0) t from mer_count group by 1),
+e as (select case when regexp_full_match(m,'[acgt]+') then least(m, reverse(translate(m,'acgt','tgca'))) end mer, t from c)
+select '_k_mers' field, mer, count(*)::bigint weight, (select count(*) from b)::bigint total from b where mer is not null group by mer having count(*)>=0.004*(select count(*) from b)
+union all select 'total', mer, sum(t)::bigint, (select sum(t) from e)::bigint from e where mer is not null group by mer having sum(t)>=0.005*(select sum(t) from e)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p3_found": P3, "p4_found": P4, "p5_found": P5}
+    return {
+        "p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_share": P3_SHARE, "p4_found": P4, "p4_report": P4_REPORT, "p5_found": P5, "p5_counts": P5_COUNTS,
+    }
