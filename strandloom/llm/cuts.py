@@ -57,7 +57,7 @@ def _is_word(w: Column) -> Column:
 
 
 def endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Texts with what their ends look like: ``key, source, body, said, dotted, words``; blank and null texts are left out.
+    """Texts with what their ends look like: ``key, source, text_hash, sizes, body, said, dotted, words``; blank and null texts are left out.
 
     ``body`` is the text without white space, rules and continuation marks at
     its end; ``said`` tells whether it had a mark that only stands for more
@@ -68,7 +68,7 @@ def endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     said = F.regexp_replace(ruled, MARKS, "")
     body = F.regexp_replace(said, r"\s*(\.\.\.+|…)$", "")
     return docs.where(F.col(key).isNotNull() & (F.length(trimmed) > 0)).select(
-        F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), body.alias("body"),
+        F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_hash"), _sizes(F.col(text), body).alias("sizes"), body.alias("body"),
         (F.length(said) < F.length(ruled)).alias("said"), (F.length(body) < F.length(said)).alias("dotted"),
     ).withColumn("words", tokens(F.col("body")))
 
@@ -81,7 +81,7 @@ def field_limits(texts: DataFrame, least: int = 40, times: int = 8, around: int
     ``times`` as many different texts of it as of the ``around`` lengths on
     either side on average, and clearly more than chance gives.
     """
-    sizes = texts.select("source", F.xxhash64("text").alias("t"), F.explode(_sizes()).alias("x")).select("source", "t", "x.unit", "x.size").where(F.col("size") >= least)
+    sizes = texts.select("source", "text_hash", F.explode("sizes").alias("x")).select("source", "text_hash", "x.unit", "x.size").where(F.col("size") >= least)
     counts = sizes.distinct().groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
     near = counts.select(
         "source", "unit", F.col("n").alias("m"), F.explode(F.sequence(F.col("size") - around, F.col("size") + around)).alias("size")
@@ -91,15 +91,15 @@ def field_limits(texts: DataFrame, least: int = 40, times: int = 8, around: int
     return same.where((F.col("n") >= times * usual) & (F.col("n") >= usual + 5 * F.sqrt(usual) + 4)).select("c.source", "c.unit", "c.size")
 
 
-def _sizes() -> Column:
+def _sizes(text: Column, body: Column) -> Column:
     size = lambda unit, n: F.struct(F.lit(unit).alias("unit"), n.alias("size"))
-    return F.array(size("text", F.length("text")), size("body", F.length("body")), size("bytes", F.octet_length("text")))
+    return F.array(size("text", F.length(text)), size("body", F.length(body)), size("bytes", F.octet_length(text)))
 
 
 def at_limit(texts: DataFrame) -> DataFrame:
     """Keys of texts as long as a limit of their source."""
     limits = field_limits(texts)
-    sizes = texts.select("key", "source", F.explode(_sizes()).alias("x")).select("key", "source", "x.unit", "x.size")
+    sizes = texts.select("key", "source", F.explode("sizes").alias("x")).select("key", "source", "x.unit", "x.size")
     on = sizes["source"].eqNullSafe(limits["source"]) & (sizes["unit"] == limits["unit"]) & (sizes["size"] == limits["size"])
     return sizes.join(limits, on, "left_semi").select("key").distinct()
 

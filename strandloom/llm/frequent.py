@@ -110,6 +110,6 @@ def frequent_items(
 
 def one_strand(mer: Column) -> Column:
     """The smaller of a mer and its reverse complement in lower case; null where another symbol than acgt occurs."""
-    low = F.lower(F.regexp_replace(mer, r"^\s+|\s+$", ""))
+    low = F.lower(F.btrim(mer, F.lit(" \t\r\n")))
     back = F.reverse(F.translate(low, "acgt", "tgca"))
     return F.when(low.rlike("^[acgt]+$"), F.least(low, back))
