@@ -3,7 +3,9 @@
 All of it is SQL: texts become arrays of words and sentence marks, and trigrams
 of words, also with places left open, are counted inside of sentences (another
 word follows) and at ends (a sentence mark, a block's or the text's end
-follows). The trigrams at the end of each text are joined with these counts; a
+follows). Texts that were posted many times are counted and scored once and the
+result goes back to all their rows, so that copies of a cut text do not vouch
+for its end. The trigrams at the end of each text are joined with these counts; a
 text whose last trigrams are frequent inside but almost never terminal was cut.
 Beside it stand three plain signs: the last word is only the beginning of
 common words, markup is left open at the very end, and the text's length is one
@@ -57,7 +59,7 @@ def _is_word(w: Column) -> Column:
 
 
 def endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Texts with what their ends look like: ``key, source, text_hash, sizes, body, said, dotted, words``; blank and null texts are left out.
+    """Texts with what their ends look like: ``key, source, text_hash, sizes, body, body_hash, said, dotted``; blank and null texts are left out.
 
     ``body`` is the text without white space, rules and continuation marks at
     its end; ``said`` tells whether it had a mark that only stands for more
@@ -70,7 +72,12 @@ def endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     return docs.where(F.col(key).isNotNull() & (F.length(trimmed) > 0)).select(
         F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_hash"), _sizes(F.col(text), body).alias("sizes"), body.alias("body"),
         (F.length(said) < F.length(ruled)).alias("said"), (F.length(body) < F.length(said)).alias("dotted"),
-    ).withColumn("words", tokens(F.col("body")))
+    ).withColumn("body_hash", F.xxhash64("body"))
+
+
+def different(ends: DataFrame) -> DataFrame:
+    """The different bodies of ``endings``, each once: ``body_hash, body, words``."""
+    return ends.select("body_hash", "body").distinct().withColumn("words", tokens(F.col("body")))
 
 
 def field_limits(texts: DataFrame, least: int = 40, times: int = 8, around: int = 15) -> DataFrame:
@@ -110,7 +117,7 @@ def _shape(words: list[Column], n: int) -> Column:
 
 
 def trigram_counts(texts: DataFrame) -> DataFrame:
-    """``gram, n_inside, n_end`` of all trigrams of all texts; the last word of a text is at an end."""
+    """``gram, n_inside, n_end`` of all trigrams of different texts; the last word of a text is at an end."""
     blank = F.array(*[F.lit("^")] * 5)
     w = F.concat(blank, F.col("words"))
     n = F.size("words")
@@ -123,23 +130,23 @@ def trigram_counts(texts: DataFrame) -> DataFrame:
 
 
 def last_trigrams(texts: DataFrame) -> DataFrame:
-    """``key, shape, gram`` of the texts that end in a word."""
+    """``body_hash, shape, gram`` of the different texts that end in a word."""
     n = F.size("words")
     w = [F.coalesce(F.get("words", n - 1 - p), F.lit("^")) for p in range(6)]
     grams = [F.struct(F.lit(i).alias("shape"), _shape(w, i).alias("gram")) for i in range(len(SHAPES))]
     ends = texts.where((n > 0) & _is_word(F.get("words", n - 1)) & (F.get("words", n - 1) != "#dna") & F.col("body").rlike(r"[\p{L}\p{N}%]$"))
-    return ends.select("key", F.explode(F.array(*grams)).alias("x")).select("key", "x.shape", "x.gram")
+    return ends.select("body_hash", F.explode(F.array(*grams)).alias("x")).select("body_hash", "x.shape", "x.gram")
 
 
 def half_words(texts: DataFrame, last: DataFrame, counts: DataFrame) -> DataFrame:
-    """Keys of texts whose last word is rare in itself but begins words that are common."""
+    """``body_hash`` of the different texts whose last word is rare in itself but begins words that are common."""
     whole = SHAPES.index((0,))
     words = texts.select(F.explode("words").alias("word")).where(F.col("word").rlike(r"^\p{L}{2,}")).groupBy("word").agg(F.count("*").alias("n"))
     starts = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))).alias("word"), "n")
     longer = starts.groupBy("word").agg(F.sum("n").alias("n_longer"))
-    ends = texts.select("key", F.get("words", F.size("words") - 1).alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
-    alone = last.where(F.col("shape") == whole).join(counts, "gram").select("key", "n_inside")
-    return ends.join(alone, "key").join(longer, "word").where(F.col("n_longer") >= 10 * (F.col("n_inside") + 1)).select("key").distinct()
+    ends = texts.select("body_hash", F.get("words", F.size("words") - 1).alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
+    alone = last.where(F.col("shape") == whole).join(counts, "gram").select("body_hash", "n_inside")
+    return ends.join(alone, "body_hash").join(longer, "word").where(F.col("n_longer") >= 10 * (F.col("n_inside") + 1)).select("body_hash").distinct()
 
 
 def short_records(texts: DataFrame) -> Column:
@@ -170,27 +177,29 @@ def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     go on, a comma or an opening bracket at the end, or dots behind a full
     stop), the first that holds. Null,
     empty and blank texts and rows without a key are never cut; a null source
-    is a source of its own; repeated rows of a key give one row. An empty
-    table gives no rows.
+    is a source of its own; repeated rows of a key give one row. Copies of a
+    text (the same up to white space and dots at the end) count as one text in
+    all counts. An empty table gives no rows.
     """
-    texts = stable(endings(docs, key, text, source))
+    ends = stable(endings(docs, key, text, source))
+    texts = stable(different(ends))
     counts = trigram_counts(texts)
     last = stable(last_trigrams(texts))
-    heard = stable(last.join(counts, "gram").select("key", "shape", "gram", "n_inside", (F.col("n_end") - 1).alias("n_end")).dropDuplicates(["key", "shape"]))
+    heard = stable(last.join(counts, "gram").select("body_hash", "shape", "gram", "n_inside", (F.col("n_end") - 1).alias("n_end")))
     odds = F.log((F.col("n_end") + 0.5) / (F.col("n_inside") + 0.5)) - SILENT
     says = F.when(F.col("n_end") + F.col("n_inside") >= HEARD, F.greatest(F.lit(-LOUD), F.least(F.lit(LOUD), odds))).otherwise(0.0)
-    scored = heard.groupBy("key").agg(F.sum(says).alias("score"))
+    scored = heard.groupBy("body_hash").agg(F.sum(says).alias("score"))
     body = F.col("body")
     half = half_words(texts, last, heard.select("gram", "n_inside").distinct())
-    flags = (
-        texts.join(at_limit(texts).withColumn("limit", F.lit(True)), "key", "left")
-        .join(half.withColumn("half", F.lit(True)), "key", "left")
-        .join(scored, "key", "left")
-    )
     hanging = body.rlike(r"[,;(\[{«„–—&]$|\s-$") & ~body.rlike(r"[;:]-?[(]$")
+    signs = texts.select(
+        "body_hash", open_markup(body).alias("markup"), (short_records(texts) | body.endswith("\ufffd")).alias("short"), hanging.alias("hanging"), body.rlike(rf"[{STOPS}]$").alias("stopped")
+    )
+    signs = signs.join(half.withColumn("half", F.lit(True)), "body_hash", "left").join(scored, "body_hash", "left")
+    flags = ends.select("key", "source", "body_hash", "said", "dotted").join(at_limit(ends).withColumn("limit", F.lit(True)), "key", "left").join(signs, "body_hash")
     reason = (
-        F.when(F.col("limit") | F.col("said"), "limit").when(open_markup(body), "markup").when(F.col("half") | short_records(texts) | body.endswith("\ufffd"), "word")
-        .when(hanging | (F.col("dotted") & body.rlike(rf"[{STOPS}]$")) | (F.col("score") < COMPLETE), "sentence")
+        F.when(F.col("limit") | F.col("said"), "limit").when(F.col("markup"), "markup").when(F.col("half") | F.col("short"), "word")
+        .when(F.col("hanging") | (F.col("dotted") & F.col("stopped")) | (F.col("score") < COMPLETE), "sentence")
     )
     return flags.select(F.col("key").alias(key), F.col("source").alias(source), reason.alias("reason")).where("reason is not null").dropDuplicates([key])
 

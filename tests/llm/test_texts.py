@@ -129,6 +129,17 @@ def test_cut_texts_are_found(spark):
     assert sum(r["n_docs"] for r in rates) == 1500 and sum(r["n_cut"] for r in rates) == len(found)
 
 
+def test_copies_of_a_cut_text_do_not_vouch_for_its_end(spark):
+    docs = [d[:3] for d in corpus(2)]
+    own = "Do not trust the tent, it hums when the motif reaches 7. We repaired the gel overnight, which explains the"
+    once = spark.createDataFrame(docs + [(7000, own, "a")], "doc_id long, text string, source string")
+    copies = spark.createDataFrame(docs + [(7000 + i, own, "abc"[i % 3]) for i in range(100)], "doc_id long, text string, source string")
+    alone = {r["doc_id"]: r["reason"] for r in cuts.cut_texts(once).collect()}
+    found = {r["doc_id"]: r["reason"] for r in cuts.cut_texts(copies).collect()}
+    assert {i: found.get(i) for i in range(7000, 7100)} == {i: "sentence" for i in range(7000, 7100)}
+    assert {i: r for i, r in found.items() if i < 7000} == {i: r for i, r in alone.items() if i < 7000}
+
+
 def test_limits_markup_and_marks(spark):
     docs = [d[:3] for d in corpus(1)]
     docs += [(5000 + i, ("I compared the oven on sunday and the gel still hums. " * 20)[i : i + 300], "limited") for i in range(12)]
