@@ -74,12 +74,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+def _overlaps(spark: SparkSession, sf_dir: str, masks: tuple[str, ...] = leaks.MASKS) -> DataFrame:
+    return leaks.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), masks=masks)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(_overlaps(spark, sf_dir))
+    return leaks.leaks(_overlaps(spark, sf_dir, leaks.VERBATIM))
 
 
 def p7_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:

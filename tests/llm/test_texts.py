@@ -81,6 +81,38 @@ def test_leaks(spark, rows, monkeypatch, bound):
     assert changed and (changed[0]["n_same"], changed[0]["n_words"], changed[0]["longest"]) == (19, 20, 10)
 
 
+def most_avoided(masks, length):
+    """The most points (1 for a same word, -4 for another) of ``length`` words that hold no window of the masks."""
+    span = max(map(len, masks))
+    ends = [int(m, 2) for m in masks]
+    best = {0: 0}
+    for _ in range(length):
+        new = {}
+        for state, points in best.items():
+            for same in (0, 1):
+                seen = state << 1 | same
+                if not any(seen & m == m for m in ends):
+                    seen &= (1 << (span - 1)) - 1
+                    new[seen] = max(new.get(seen, -(10**9)), points + (1 if same else -4))
+        best = new
+    return max(best.values())
+
+
+def test_masks_find_every_overlap():
+    """Points of 0 or more are 80 %. Longer stretches are made up of parts of 13 to 25 words, of which one has 0 or more."""
+    assert all(most_avoided(leaks.MASKS, n) < 0 for n in range(13, 26))
+    assert most_avoided(leaks.VERBATIM, 13) == 8
+
+
+def test_overlaps_with_substituted_words(spark):
+    words = ["w%d" % i for i in range(100)]
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, item_text string")
+    changed = {1: (13, (3,)), 2: (13, (6,)), 3: (13, (9,)), 4: (13, (4, 8)), 5: (15, (3, 7, 11)), 6: (100, tuple(range(4, 100, 5)))}
+    docs = [(d, " ".join("other%d" % i if i in at else w for i, w in enumerate(words[:n]))) for d, (n, at) in changed.items()]
+    found = leaks.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), item).where("n_words >= 13 and n_same >= 0.8 * n_words")
+    assert {r["doc_id"] for r in found.collect()} == set(changed)
+
+
 def test_random_leaks_against_all_windows(spark, rows):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(6)]
