@@ -113,6 +113,27 @@ def test_overlaps_with_substituted_words(spark):
     assert {r["doc_id"] for r in found.collect()} == set(changed)
 
 
+def test_every_stretch_of_a_diagonal_is_found(spark, rows):
+    """Two verbatim parts with other words between, and two that are one overlap as 80 % of both together are the same."""
+    words = ["w%d" % i for i in range(100)]
+    item = spark.createDataFrame([(1, " ".join(words))], "item_id long, item_text string")
+    changed = {1: range(20, 80), 2: range(40, 50)}
+    docs = [(d, " ".join("other%d" % i if i in at else w for i, w in enumerate(words))) for d, at in changed.items()]
+    found = leaks.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), item)
+    assert rows(found, "doc_id", "start", "n_same", "n_words", "longest") == [(1, 0, 20, 20, 20), (1, 80, 20, 20, 20), (2, 0, 90, 100, 50)]
+
+
+def test_stretches_against_all_pairs():
+    import numpy as np
+
+    rng = random.Random(9)
+    for _ in range(300):
+        same = np.array([rng.random() < rng.choice((0.5, 0.8, 0.95)) for _ in range(rng.randrange(0, 60))], bool)
+        good = [(a, b) for a in range(len(same)) for b in range(a + 13, len(same) + 1) if same[a] and same[b - 1] and 5 * same[a:b].sum() >= 4 * (b - a)]
+        want = [(a, b) for a, b in good if not any(c <= a and b <= d and (a, b) != (c, d) for c, d in good)]
+        assert leaks.stretches(same) == want
+
+
 def test_random_leaks_against_all_windows(spark, rows):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(6)]
