@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..models.builders import Motif
@@ -116,6 +116,31 @@ def matched_negatives(positives: DataFrame, negatives: DataFrame, text: str = "s
     return joined.select("ord", F.when(F.length("neg") >= F.col("n"), F.substr("neg", F.lit(1), F.col("n"))).otherwise(short).alias(text))
 
 
+def _by_falling_length(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with their length ``n`` and running number ``rank`` from 0, the longest first; numbered within each length, so no task holds all rows."""
+    rows = rows.withColumn("n", F.length(text)).where("n is not null")
+    longer = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)  # one row for each length
+    before = rows.groupBy("n").agg(F.count("*").alias("rows")).select("n", F.coalesce(F.sum("rows").over(longer), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("n").orderBy("ord")) - 1
+    return rows.withColumn("own", own).join(before, "n").withColumn("rank", F.col("before") + F.col("own")).drop("before", "own")
+
+
+def paired_negatives(positives: DataFrame, negatives: DataFrame, text: str = "seq") -> DataFrame:
+    """A negative for every positive, cut to its length: ``ord, seq``.
+
+    Both are ``ord, seq``. They are paired by their rank of falling length; a
+    positive whose rank has no negative that is long enough takes one of those
+    that are, in turn. A positive longer than any negative has a null text.
+    Rows with a null text are left out of both.
+    """
+    p, q = _by_falling_length(positives.select("ord", text), text), _by_falling_length(negatives.select("ord", text), text)
+    lengths = p.select("n", F.lit(0).alias("rows")).distinct().unionByName(q.groupBy("n").agg(F.count("*").alias("rows")))
+    upto = Window.orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # two rows for each length at most
+    enough = lengths.withColumn("enough", F.sum("rows").over(upto)).select("n", "enough").distinct()
+    taken = p.drop(text).join(enough, "n").withColumn("rank", F.when(F.col("enough") > 0, F.col("rank") % F.col("enough")))
+    return taken.join(q.select("rank", F.col(text).alias("neg")), "rank", "left").select("ord", F.substr("neg", F.lit(1), F.col("n")).alias(text))
+
+
 def summary(sequences: DataFrame, dataset: str, digits: str = "digits") -> DataFrame:
     """Sequences, symbols, known symbols and their percentage (whole, rounded down) for each dataset; null texts count as sequences."""
     n, known = F.length(digits), F.length(F.translate(digits, "4", ""))

@@ -245,6 +245,10 @@ def oracle_sql() -> dict[str, str]:
         "fragment_summary": f"select fragment, count(*) n_seqs, coalesce(sum(length(digits)), 0)::bigint n_bases, coalesce(sum(length(replace(digits, '4', ''))), 0)::bigint n_known, floor(100 * sum(length(replace(digits, '4', ''))) / nullif(sum(length(digits)), 0))::bigint percent from ({INPUTS}) group by 1",
         "dataset_sequences": f"select fragment, seq_id, digits from ({INPUTS}) where fragment is not null and digits is not null and train is not null union all select fragment, seq_id, digits from ({INPUTS}) where fragment is not null and digits is not null and test is not null",
         "matched_negatives": f"select p.seq_id ord, left(n.digits, length(p.digits)::int) seq from ({INPUTS}) p join ({FASTA}) n on n.seq_id = p.seq_id and length(n.digits) >= length(p.digits)",
+        "paired_negatives": f"""with p as (select seq_id, length(digits) n, row_number() over (order by length(digits) desc, seq_id) - 1 r from ({INPUTS}) where digits is not null),
+            f as (select digits, length(digits) n, row_number() over (order by length(digits) desc, seq_id) - 1 r from ({FASTA}) where digits is not null),
+            c as (select any_value(p.seq_id) seq_id, p.r, any_value(p.n) n, count(f.r) c from p left join f on f.n >= p.n group by p.r)
+            select c.seq_id ord, left(f.digits, c.n::int) seq from c left join f on f.r = case when c.c > 0 then c.r % c.c end""",
         "ranked_fragments": f"""with i as (select fragment, greatest(avg(bits), 0) info from (select fragment, state, 2 + sum(p * log2(p)) bits from ({EMIT}) where state > 0 group by 1, 2) group by 1),
             k as (select fragment, sum(length(replace(digits, '4', ''))) / sum(length(digits)) known from ({INPUTS}) group by 1) select i.fragment, round(sqrt(info * known), 6) score from i join k using (fragment)""",
     }

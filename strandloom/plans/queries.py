@@ -426,6 +426,13 @@ def matched_negatives(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.matched_negatives(pos.join(enough, "ord", "left_semi"), neg)
 
 
+def paired_negatives(spark: SparkSession, d: str) -> DataFrame:
+    """A record for every input sequence, cut to its length; null where no record is long enough."""
+    pos = views.inputs(spark, d).where("digits is not null").select(F.col("seq_id").alias("ord"), F.col("digits").alias("seq"))
+    neg = views.fasta(spark, d).select(F.col("seq_id").alias("ord"), F.col("digits").alias("seq"))
+    return evaluate.paired_negatives(pos, neg)
+
+
 def ranked_fragments(spark: SparkSession, d: str) -> DataFrame:
     """Fragments by the geometric mean of their states' mean information and their share of known symbols."""
     bits = 2 - F.sum(pssm.entropy(F.col("p"), 2))
@@ -442,5 +449,5 @@ ALL = (
     forward_loglik, forward_loglik_orders, backward_loglik, trellis_consistency, total_loglik, posterior_gamma, viterbi_paths, binding_indicators, sampled_sequences,
     bw_estep, bw_iteration, viterbi_counts, kfold_loglik, trained_history,
     site_islands, site_texts, site_files, site_strands, masked_sites, mask_counts, path_edges,
-    site_overlaps, site_roc, base_roc, hits_by_fragment, fragment_summary, dataset_sequences, matched_negatives, ranked_fragments,
+    site_overlaps, site_roc, base_roc, hits_by_fragment, fragment_summary, dataset_sequences, matched_negatives, paired_negatives, ranked_fragments,
 )

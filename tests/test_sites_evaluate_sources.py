@@ -122,3 +122,23 @@ def test_streams(spark, tmp_path):
     want = [infer.log_likelihoods(spark.createDataFrame([(1, o)], "seq_id int, obs array<int>"), model).first()["ll"] for o in orders]
     assert any(last["ll"] == pytest.approx(w) for w in want)
     assert run(online.windowed_counts(stream), "wins", "update").agg(F.sum("count")).first()[0] >= 5
+
+
+def test_every_positive_has_a_negative(spark, rows):
+    text = "ord int, seq string"
+    pos = spark.createDataFrame([(1, "a" * 5), (2, "a" * 3), (3, "a" * 9), (4, "a" * 5), (5, ""), (6, None), (7, "a" * 3)], text)
+    neg = spark.createDataFrame([(91, "cccc"), (92, "ggggggg"), (93, "t"), (94, None)], text)
+    got = rows(evaluate.paired_negatives(pos, neg))
+    assert got == [(1, "ggggg"), (2, "ccc"), (3, None), (4, "ggggg"), (5, ""), (7, "ggg")]
+    assert rows(evaluate.paired_negatives(pos.where("ord = 1"), neg.limit(0))) == [(1, None)]
+
+
+def test_no_input_is_left_without_a_record(spark):
+    from strandloom.plans import queries, views
+
+    folder = "/root/testdata/sf0.001"
+    wanted = views.inputs(spark, folder).where("digits is not null")
+    longest = views.fasta(spark, folder).agg(F.max(F.length("digits"))).first()[0]
+    found = queries.paired_negatives(spark, folder)
+    assert found.count() == wanted.count()
+    assert found.where("seq is not null").count() == wanted.where(F.length("digits") <= longest).count()
