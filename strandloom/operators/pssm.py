@@ -125,11 +125,12 @@ def entropy(p: Column, base: float = math.e) -> Column:
 def logo_heights(rows: DataFrame) -> DataFrame:
     """``pos, sym, height`` of a sequence logo: p times the 2 - H bits of its place."""
     bits = rows.groupBy("pos").agg((2 - F.sum(entropy(F.col("p"), 2))).alias("r"))
-    return rows.join(F.broadcast(bits), "pos").select("pos", "sym", (F.col("p") * F.col("r")).alias("height"))
+    return rows.join(bits, "pos").select("pos", "sym", (F.col("p") * F.col("r")).alias("height"))
 
 
-def frequencies(sequences: DataFrame, width: int) -> DataFrame:
-    """``pos, sym, p``: symbol frequencies of the first ``width`` known places of aligned sequences."""
-    cells = sequences.select(F.posexplode(F.slice("obs", 1, width)).alias("pos", "sym")).where("sym between 0 and 3").groupBy("pos", "sym").agg(F.count("*").alias("n"))
+def frequencies(sequences: DataFrame, width: int | None = None) -> DataFrame:
+    """``pos, sym, p``: frequencies of the known symbols at the first ``width`` places of aligned sequences, or at all places."""
+    obs = F.col("obs") if width is None else F.slice("obs", 1, width)
+    cells = sequences.select(F.posexplode(obs).alias("pos", "sym")).where("sym between 0 and 3").groupBy("pos", "sym").agg(F.count("*").alias("n"))
     totals = cells.groupBy("pos").agg(F.sum("n").alias("t"))
-    return cells.join(F.broadcast(totals), "pos").select("pos", "sym", (F.col("n") / F.col("t")).alias("p"))
+    return cells.join(totals if width is None else F.broadcast(totals), "pos").select("pos", "sym", (F.col("n") / F.col("t")).alias("p"))

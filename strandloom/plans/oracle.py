@@ -111,6 +111,7 @@ def windows(scores: list[list[float]]) -> str:
 
 
 FREQ = f"""select t pos, o sym, count(*) / sum(count(*)) over (partition by t) p from ({DNA}) where o < 4 and t < {{0}} group by t, o"""
+FREQ_ALL = f"""select t pos, o sym, count(*) / sum(count(*)) over (partition by t) p from ({DNA}) where o < 4 group by t, o"""
 EMIT = f"select fragment, q state, o sym, count(*) / sum(count(*)) over (partition by fragment, q) p from ({STATES}) where fragment is not null and q is not null and o < 4 group by fragment, q, o"
 U = "('0x' || substr(md5(concat_ws(':', '{0}', {1})), 1, 8))::bigint / 4294967296.0::double"
 CONFUSION = "count(*) filter ({0} and {1}) tp, count(*) filter (not {0} and not {1}) tn, count(*) filter (not {0} and {1}) fp, count(*) filter ({0} and not {1}) fn"
@@ -181,10 +182,14 @@ def oracle_sql() -> dict[str, str]:
         "log_factorials": "select distinct total, round(case when total <= 1 then 0 else lgamma(total + 1) end, 6) log_factorial from mer_count where total >= 0",
         "distribution_strings": f"""with p as (select pos, sum(p) filter (sym = 0) a, sum(p) filter (sym = 1) c, sum(p) filter (sym = 2) g from ({FREQ.format(20)}) group by 1)
             select i, string_agg(case when i < 50 * coalesce(a, 0) then 'a' when i < 50 * (coalesce(a, 0) + coalesce(c, 0)) then 'c' when i < 50 * (coalesce(a, 0) + coalesce(c, 0) + coalesce(g, 0)) then 'g' else 't' end, '' order by pos) seq from p, range(50) x(i) group by 1""",
+        "distribution_strings_all": f"""with p as (select pos, sum(p) filter (sym = 0) a, sum(p) filter (sym = 1) c, sum(p) filter (sym = 2) g from ({FREQ_ALL}) group by 1)
+            select i, string_agg(case when i < 50 * coalesce(a, 0) then 'a' when i < 50 * (coalesce(a, 0) + coalesce(c, 0)) then 'c' when i < 50 * (coalesce(a, 0) + coalesce(c, 0) + coalesce(g, 0)) then 'g' else 't' end, '' order by pos) seq from p, range(50) x(i) group by 1""",
         "order2_codes": f"""with e as ({EVENTS}), c as (select seq_id, t, case when greatest(o, lag(o) over w, lag(o, 2) over w) < 5 and t >= 2 then o + 5 * lag(o) over w + 25 * lag(o, 2) over w else 125 end code from e window w as (partition by seq_id order by t))
             select seq_id, t, code, case when code = 125 then 5 else code % 5 end symbol, case when code = 125 then 25 else code // 5 end previous, case when code = 125 then 25 else code % 25 end following from c""",
         "order_roundtrip": f"select seq_id, true valid, bool_and(o <= 5) valid_symbols, count(*) filter (t >= 2 and o < 5 and o1 < 5 and o2 < 5) n_known, 0 n_wrong from (select *, lag(o) over w o1, lag(o, 2) over w o2 from ({EVENTS}) window w as (partition by seq_id order by t)) group by 1",
         "window_codes": f"select seq_id, case when bool_or(o >= 5) then 125 else sum(o * 5 ** (2 - t))::bigint end code, case when bool_or(o >= 5) then '555' else {text('o')} end symbols from ({ORDERS}) where t < 3 group by 1 having count(*) = 3",
+        "window_codes_all": f"""with w as (select seq_id, t - 2 start, o c, lag(o) over v b, lag(o, 2) over v a from ({ORDERS}) window v as (partition by seq_id order by t))
+            select seq_id, start, case when greatest(a, b, c) >= 5 then 125 else 25 * a + 5 * b + c end code, case when greatest(a, b, c) >= 5 then '555' else concat(a, b, c) end symbols from w where start >= 0""",
         "chain_counts": f"with {CHAIN} select ord, ctx, sym, cnt from tab",
         "chain_probs": f"with {CHAIN} select ord, ctx, sym, round(p, 6) p, round(logp, 6) logp from pr",
         "chain_lower_order": f"with {CHAIN} select ctx, sym, round(p, 6) p from pr where ord = 1",
@@ -209,6 +214,8 @@ def oracle_sql() -> dict[str, str]:
         "pssm_start_value": start_value(),
         "information_content": f"select pos, round(sum(p * (ln(p) - ln(0.25))), 6) nats from ({FREQ.format(30)}) group by 1",
         "logo_heights": f"select pos, sym, round(p * (2 + sum(p * log2(p)) over (partition by pos)), 6) height from ({FREQ.format(30)})",
+        "information_content_all": f"select pos, round(sum(p * (ln(p) - ln(0.25))), 6) nats from ({FREQ_ALL}) group by 1",
+        "logo_heights_all": f"select pos, sym, round(p * (2 + sum(p * log2(p)) over (partition by pos)), 6) height from ({FREQ_ALL})",
         "emission_entropy": f"select fragment, state, round(-sum(p * ln(p)), 6) + 0 nats from ({EMIT}) group by 1, 2",
         "informative_states": f"select fragment, state, round(2 + sum(p * log2(p)), 6) bits from ({EMIT}) group by 1, 2 having 2 + sum(p * log2(p)) > 0.5",
         "forward_loglik": f"{forward(EVENTS, MODEL)} select seq_id, round(ll, 6) ll from ll",

@@ -82,12 +82,20 @@ def log_factorials(spark: SparkSession, d: str) -> DataFrame:
     return totals.select("total", r6(symbols.log_factorial(F.col("total"))).alias("log_factorial"))
 
 
-def distribution_strings(spark: SparkSession, d: str) -> DataFrame:
-    freq = pssm.frequencies(views.dna(spark, d), 20)
+def _strings(freq: DataFrame) -> DataFrame:
     columns = freq.groupBy("pos").agg(*[F.sum(F.when(F.col("sym") == i, F.col("p")).otherwise(0.0)).alias(c) for i, c in enumerate("acgt")])
     return symbols.strings_of_distribution(columns, 50)
 
 
+def distribution_strings(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first 20 places; ``distribution_strings_all`` takes all."""
+    return _strings(pssm.frequencies(views.dna(spark, d), 20))
+
+
+def distribution_strings_all(spark: SparkSession, d: str) -> DataFrame:
+    return _strings(pssm.frequencies(views.dna(spark, d)))
+
+
 # ---- order-n codes
 
 
@@ -105,11 +113,20 @@ def order_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first window of each sequence; ``window_codes_all`` takes every window."""
     codes = OrderCodes(5, 2)
     rows = views.orders(spark, d).where("size(obs) >= 3").select("seq_id", codes.encode_window(F.slice("obs", 1, 3)).alias("code"))
     return rows.select("seq_id", "code", F.concat_ws("", F.transform(codes.decode_window(F.col("code")), lambda x: x.cast("string"))).alias("symbols"))
 
 
+def window_codes_all(spark: SparkSession, d: str) -> DataFrame:
+    codes = OrderCodes(5, 2)
+    starts = F.sequence(F.lit(0), F.size("obs") - 3)
+    rows = views.orders(spark, d).where("size(obs) >= 3").select("seq_id", "obs", F.explode(starts).alias("start"))
+    rows = rows.select("seq_id", "start", codes.encode_window(F.slice("obs", F.col("start") + 1, 3)).alias("code"))
+    return rows.select("seq_id", "start", "code", F.concat_ws("", F.transform(codes.decode_window(F.col("code")), lambda x: x.cast("string"))).alias("symbols"))
+
+
 # ---- chains
 
 
@@ -225,13 +242,23 @@ def pssm_start_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 def information_content(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first 30 places; ``information_content_all`` takes all."""
     return pssm.information_content(pssm.frequencies(views.dna(spark, d), 30)).select("pos", r6("nats").alias("nats"))
 
 
+def information_content_all(spark: SparkSession, d: str) -> DataFrame:
+    return pssm.information_content(pssm.frequencies(views.dna(spark, d))).select("pos", r6("nats").alias("nats"))
+
+
 def logo_heights(spark: SparkSession, d: str) -> DataFrame:
+    """Of the first 30 places; ``logo_heights_all`` takes all."""
     return pssm.logo_heights(pssm.frequencies(views.dna(spark, d), 30)).select("pos", "sym", r6("height").alias("height"))
 
 
+def logo_heights_all(spark: SparkSession, d: str) -> DataFrame:
+    return pssm.logo_heights(pssm.frequencies(views.dna(spark, d))).select("pos", "sym", r6("height").alias("height"))
+
+
 def _emissions(spark: SparkSession, d: str) -> DataFrame:
     """``fragment, state, sym, p`` from the given paths."""
     cells = F.arrays_zip(F.col("path").alias("state"), F.col("obs").alias("sym"))
@@ -442,10 +469,10 @@ def ranked_fragments(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALL = (
-    fasta_stripped, fasta_wrapped, encode_known_counts, decoded_letters, rev_comp_text, complement_counts, masked_sequences, sigmoid_values, log_factorials, distribution_strings,
-    order2_codes, order_roundtrip, window_codes, chain_counts, chain_probs, chain_lower_order, chain_eval, chain_eval_cumulative, chain_eval_context,
+    fasta_stripped, fasta_wrapped, encode_known_counts, decoded_letters, rev_comp_text, complement_counts, masked_sequences, sigmoid_values, log_factorials, distribution_strings, distribution_strings_all,
+    order2_codes, order_roundtrip, window_codes, window_codes_all, chain_counts, chain_probs, chain_lower_order, chain_eval, chain_eval_cumulative, chain_eval_context,
     kmer_counts, kmer_seq_counts, kmer_revcomp_counts, kmer_top_by_sequences, kmer_most_common, kmer_significance, consensus_codes, consensus_of_customers, consensus_words,
-    pssm_scores, pssm_max, pssm_both_strands, pssm_background, pssm_start_value, information_content, logo_heights, emission_entropy, informative_states,
+    pssm_scores, pssm_max, pssm_both_strands, pssm_background, pssm_start_value, information_content, information_content_all, logo_heights, logo_heights_all, emission_entropy, informative_states,
     forward_loglik, forward_loglik_orders, backward_loglik, trellis_consistency, total_loglik, posterior_gamma, viterbi_paths, binding_indicators, sampled_sequences,
     bw_estep, bw_iteration, viterbi_counts, kfold_loglik, trained_history,
     site_islands, site_texts, site_files, site_strands, masked_sites, mask_counts, path_edges,

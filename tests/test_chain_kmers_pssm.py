@@ -93,3 +93,20 @@ def test_matrices_of_mer():
     assert len(short) == 5 and len(long) == 6
     assert [int(np.argmax(r)) for r in short[1:4]] == [0, 1, 2]
     assert short[0] == [0.25] * 4 and long[2] == [0.25] * 4
+
+
+def test_frequencies_of_all_places(spark):
+    df = spark.createDataFrame([(1, [0] * 29 + [1, 2, 4, 3]), (2, [0] * 31), (3, [])], SEQ)
+    got = {(r["pos"], r["sym"]): r["p"] for r in pssm.frequencies(df).collect()}
+    assert got == {(i, 0): 1.0 for i in range(29)} | {(29, 0): 0.5, (29, 1): 0.5, (30, 0): 0.5, (30, 2): 0.5, (32, 3): 1.0}
+    assert max(r["pos"] for r in pssm.frequencies(df, 30).collect()) == 29
+
+
+def test_queries_take_all_places_and_windows(spark):
+    from strandloom.plans import queries, views
+
+    folder = "/root/testdata/sf0.001"
+    known = views.dna(spark, folder).select(F.posexplode("obs").alias("pos", "sym")).where("sym < 4").select("pos").distinct().count()
+    assert queries.information_content_all(spark, folder).count() == known > 30
+    windows = views.orders(spark, folder).agg(F.sum(F.greatest(F.size("obs") - 2, F.lit(0)))).first()[0]
+    assert queries.window_codes_all(spark, folder).count() == windows > queries.window_codes(spark, folder).count()
