@@ -80,21 +80,24 @@ def different(ends: DataFrame) -> DataFrame:
     return ends.select("body_hash", "body").distinct().withColumn("words", tokens(F.col("body")))
 
 
-def field_limits(texts: DataFrame, least: int = 40, times: int = 8, around: int = 15) -> DataFrame:
+def field_limits(texts: DataFrame, least: int = 40, times: int = 8, around: int = 15, apart: int = 4) -> DataFrame:
     """Lengths at which a source's texts pile up: ``source, unit, size``.
 
     A length (in characters or in bytes, with and without white space or
     continuation dots at the end) counts as a limit if the source has
     ``times`` as many different texts of it as of the ``around`` lengths on
-    either side on average, and clearly more than chance gives.
+    either side on average, and clearly more than chance gives. The ``apart``
+    most and least frequent of these lengths do not count for the average, so
+    that limits near each other cannot hide each other.
     """
     sizes = texts.select("source", "text_hash", F.explode("sizes").alias("x")).select("source", "text_hash", "x.unit", "x.size").where(F.col("size") >= least)
     counts = sizes.distinct().groupBy("source", "unit", "size").agg(F.count("*").alias("n"))
-    near = counts.select(
-        "source", "unit", F.col("n").alias("m"), F.explode(F.sequence(F.col("size") - around, F.col("size") + around)).alias("size")
-    ).groupBy("source", "unit", "size").agg(F.sum("m").alias("m"))
+    shifted = counts.select("source", "unit", "n", F.col("size").alias("own"), F.explode(F.sequence(F.col("size") - around, F.col("size") + around)).alias("size"))
+    near = shifted.groupBy("source", "unit", "size").agg(F.collect_list(F.when(F.col("own") != F.col("size"), F.col("n"))).alias("ms"))  # at most 2 * around
     same = counts.alias("c").join(near.alias("d"), (F.col("c.source").eqNullSafe(F.col("d.source"))) & (F.col("c.unit") == F.col("d.unit")) & (F.col("c.size") == F.col("d.size")))
-    usual = (F.col("m") - F.col("n")) / (2 * around)
+    every = F.concat(F.sort_array("ms", asc=False), F.array_repeat(F.lit(0).cast("bigint"), 2 * around - F.size("ms")))
+    middle = 2 * (around - apart)
+    usual = F.aggregate(F.slice(every, apart + 1, middle), F.lit(0).cast("bigint"), lambda a, x: a + x) / middle
     return same.where((F.col("n") >= times * usual) & (F.col("n") >= usual + 5 * F.sqrt(usual) + 4)).select("c.source", "c.unit", "c.size")
 
 

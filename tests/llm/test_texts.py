@@ -202,6 +202,13 @@ def test_limits_markup_and_marks(spark):
     assert sorted(found) == [(5000 + i, "limit") for i in range(12)] + [(6000, "markup"), (6001, "limit"), (6002, "markup"), (6007, "sentence")]
 
 
+def test_limits_near_each_other(spark):
+    sizes = [(s, 60) for s in (280, 281, 283)] + [(s, 4) for s in range(240, 330) if s not in (280, 281, 283)] + [(500, 8)]
+    rows = [("a", s * 1000 + i, [("text", s)]) for s, n in sizes for i in range(n)]
+    texts = spark.createDataFrame(rows + rows, "source string, text_hash long, sizes array<struct<unit string, size int>>")
+    assert sorted(r["size"] for r in cuts.field_limits(texts).collect()) == [280, 281, 283, 500]
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([("<b>It's</b> 3.14%! 速い<br>Next\n\nlast&nbsp;",)], "t string")
     assert df.select(cuts.tokens(F.col("t"))).first()[0] == ["it's", "#", ".", "速", "い", ".", "next", ".", "last"]
