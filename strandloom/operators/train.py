@@ -168,12 +168,23 @@ def fold_of(index, folds: int):  # noqa: ANN001, ANN201
     return F.pmod(index, F.lit(folds))
 
 
-def cross_validated(sequences: DataFrame, model: HiddenModel, folds: int, most: int = 3, prior: Prior | None = None) -> DataFrame:
-    """``fold, ll, n_known, ll_per_known`` of each fold (``seq_id`` modulo ``folds``) under a model trained on the others."""
+def per_known(sequences: DataFrame, model: HiddenModel, tolerance: float = 1e-4) -> float:
+    """A tolerance for each known symbol as one for all sequences."""
+    known = F.size(F.filter("obs", lambda x: x < model.symbols))
+    return tolerance * (sequences.where("obs is not null").agg(F.sum(known)).first()[0] or 0)  # one row
+
+
+def cross_validated(sequences: DataFrame, model: HiddenModel, folds: int, most: int = 3, prior: Prior | None = None, tolerance: float | None = None) -> DataFrame:
+    """``fold, ll, n_known, ll_per_known`` of each fold (``seq_id`` modulo ``folds``) under a model trained on the others.
+
+    ``tolerance`` is that of ``train`` for each known symbol; without it, its own default holds.
+    """
     parts = []
     for k in range(folds):
         own = fold_of(F.col("seq_id"), folds) == k
-        trained, _ = train(sequences.where(~own), model, prior, most=most)
+        rest = sequences.where(~own)
+        bound = {} if tolerance is None else {"tolerance": per_known(rest, model, tolerance)}
+        trained, _ = train(rest, model, prior, most=most, **bound)
         parts.append(infer.total_log_likelihood(sequences.where(own), trained).withColumn("fold", F.lit(k)))
     got = parts[0]
     for p in parts[1:]:

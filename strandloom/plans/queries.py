@@ -342,13 +342,13 @@ def viterbi_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kfold_loglik(spark: SparkSession, d: str) -> DataFrame:
-    rows = train.cross_validated(views.orders(spark, d), MODEL, 3, most=1)
+    rows = train.cross_validated(views.orders(spark, d), MODEL, 3, most=0, tolerance=1e-4)
     return rows.select("fold", F.round("ll", 3).alias("ll"), "n_known")
 
 
 def trained_history(spark: SparkSession, d: str) -> DataFrame:
     seqs = views.orders(spark, d)
-    _, history = train.train(seqs, MODEL, most=4)
+    _, history = train.train(seqs, MODEL, tolerance=train.per_known(seqs, MODEL))
     return train.history_rows(seqs, [history]).select("run", "iteration", F.round("ll", 3).alias("ll"))
 
 

@@ -303,3 +303,16 @@ def test_learning(spark):
     assert len(several) == 1 and rest.count() == 30
     assert len(learn.several_passes(df, lambda s: got.model, lambda s, m: sites.analyse(s, m, [0], blank=True)[1], 2)) == 2
     assert learn.synthetic(spark, motif, 5, 30, 1).where("size(obs) = size(truth) and size(obs) = 30").count() == 5
+
+
+def test_training_queries_reach_the_tolerance(spark):
+    from strandloom.operators import train
+    from strandloom.plans import queries, views
+
+    folder = "/root/testdata/sf0.001"
+    seqs = views.orders(spark, folder)
+    bound = train.per_known(seqs, queries.MODEL)
+    lls = [r["ll"] for r in queries.trained_history(spark, folder).orderBy("iteration").collect()]
+    assert 0 < bound and abs(lls[-1] - lls[-2]) <= bound + 0.001 and all(b - a > bound - 0.001 for a, b in zip(lls[:-2], lls[1:-1]))
+    once = train.cross_validated(seqs, queries.MODEL, 3, most=1).agg({"ll": "sum"}).first()[0]
+    assert queries.kfold_loglik(spark, folder).agg({"ll": "sum"}).first()[0] > once
