@@ -3,27 +3,73 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of the tables that each application wrote.
+_WRITTEN: dict[str, set[str]] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors reach, where intermediate tables are written.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``.
-    Only where none is set (tests, a laptop) a temporary folder is taken.
+    It is the one that the session names in ``spark.checkpoint.dir``. Only a
+    local session (tests, a laptop) may leave it unset and gets a temporary
+    folder; on a cluster that would be lost with its machine, so it is refused.
+    """
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="strandloom-")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stable(df: DataFrame, split: str | None = None) -> DataFrame:
+    """``df`` written once as a table to the shared folder and read from there, so its lineage is cut.
+
+    ``split`` names a column with few values; rows of each value lie in a
+    folder of their own, and a filter on it reads only that folder.
+    ``release`` deletes the table.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandloom-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    writer = df.write if split is None else df.write.partitionBy(split)
+    writer.parquet(folder)
+    got = spark.read.schema(df.schema).parquet(folder)
+    got._folder = folder
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, set()).add(folder)
+    return got
+
+
+def release(df: DataFrame, part: str | None = None) -> None:
+    """Deletes a table of ``stable``, or only its folder ``part`` (such as ``home=false``), once nothing reads it any more."""
+    _delete(df.sparkSession, df._folder if part is None else f"{df._folder}/{part}")
+
+
+def release_all(spark: SparkSession) -> None:
+    """Deletes all tables that this session wrote; for the time when all results have been taken."""
+    for folder in _WRITTEN.pop(spark.sparkContext.applicationId, set()):
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _WRITTEN.get(sc.applicationId, set()).discard(folder)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
