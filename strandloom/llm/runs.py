@@ -36,22 +36,20 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``at``, a gapless global row number in the given order.
 
     Rows are range-partitioned, so a hot key is spread over several tasks, and
-    written once; the row counts of the partitions (one row for each) give the
-    offset of each partition.
+    written once; the row counts of the partitions, of which there are at most
+    ``spark.sql.shuffle.partitions``, give the offset of each partition.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    laid = stable(ranged.withColumn("_mid", F.monotonically_increasing_id()))
-    part = F.shiftright("_mid", 33)
-    counts = laid.groupBy(part.alias("_part")).count().collect()  # one row for each of the partitions
-    first, total = {}, 0
+    laid = stable(ranged.withColumn("_mid", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_mid", 33))
+    counts = laid.groupBy("_part").count().collect()  # one row for each of the partitions
+    offsets, total = [], 0
     for p, n in sorted((r["_part"], r["count"]) for r in counts):
-        first[p] = total
+        offsets.append((p, total))
         total += n
-    if not first:
-        return laid.withColumn("at", F.lit(0).cast("long")).drop("_mid")
-    offset = F.create_map(*[F.lit(x).cast("long") for pair in first.items() for x in pair])
-    return laid.withColumn("at", offset[part] + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("_mid")
+    first = df.sparkSession.createDataFrame(offsets, "_part bigint, _first bigint")
+    place = F.col("_first") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return laid.join(small(first, parts), "_part").withColumn("at", place).drop("_mid", "_part", "_first")
 
 
 def path_links(sequences: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -103,7 +101,7 @@ def collapse_runs(sequences: DataFrame, sites: DataFrame, fragments: DataFrame)
     the seconds from the first to the last ``found_at``. Empty tables give no
     rows; repeated deliveries must be removed before (``runtime.once``).
     """
-    ordered = stable(site_order(sites))
+    ordered = site_order(sites)
     links = path_links(sequences, fragments).unionByName(site_links(ordered))
     homes = double_pointers(links, ["field", "seq_id"])
     runs = homes.groupBy("field", "seq_id", F.col("ptr").alias("at")).agg(
