@@ -109,9 +109,12 @@ def small(df: DataFrame, most: int) -> DataFrame:
 
 def bare(c: Column | str) -> Column:
     """Lower case without any white space."""
-    return F.lower(F.regexp_replace(c, r"\s+", ""))
+    got = F.col(c) if isinstance(c, str) else c
+    for space in " \n\r\t\f\v":
+        got = F.replace(got, F.lit(space))
+    return F.lower(got)
 
 
 def cleaned(c: Column | str) -> Column:
     """Lower case without white space and without the unknown symbols at both ends."""
-    return F.regexp_replace(bare(c), "^n+|n+$", "")
+    return F.btrim(bare(c), F.lit("n"))
