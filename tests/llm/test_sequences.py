@@ -116,6 +116,50 @@ def test_overlapping_splits(spark, rows, monkeypatch, bounds):
     assert len(want) > 10 and got == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("percent", [2, 4, 6, 8, 10, 16])
+def test_overlapping_splits_at_other_percentages(spark, rows, percent):
+    """No pair is lost, also between texts whose shares of unknowns lie on different sides of the bound."""
+    seqs, i = [], 0
+    for n in [60, 63, 80, 110, 200] * 6:
+        t = list(dna(n))
+        for at in RNG.sample(range(2, n - 2), RNG.choice([0, 0, n * 4 // 100, n * 9 // 100, n * 12 // 100])):
+            t[at] = "n"
+        t = "".join(t)
+        edit = list(t)
+        for at in RNG.sample(range(2, n - 2), n * percent // 100):
+            edit[at] = RNG.choice("nnn" + "acgt")
+        seqs += [(i, "a-1.fa", None, t), (i + 1, None, "b-1.fa", "".join(edit)), (i + 2, None, "b-1.fa", changed(t, n * (percent + 2) // 100)), (i + 3, None, "b-1.fa", t[: n - n * percent // 100])]
+        i += 4
+    df = spark.createDataFrame(seqs, "seq_id long, tr string, te string, seq string")
+    got = rows(splits.overlapping_splits(df, "seq_id", "seq", "tr", "te", percent=percent, least=50), "seq_id_a", "seq_id_b", "distance")
+    known = [(k, tr, t.strip("n")) for k, tr, _, t in seqs]
+    known = [x for x in known if len(x[2].replace("n", "")) >= 50]
+    want = []
+    for a, tr, x in known:
+        for b, other, y in known:
+            if tr and not other and abs(len(x) - len(y)) * 100 <= percent * max(len(x), len(y)):
+                e = edits(x, y)
+                if e * 100 <= percent * max(len(x), len(y)):
+                    want.append((min(a, b), max(a, b), e))
+    assert len(want) > 10 and got == sorted(want, key=str)
+
+
+def test_passages_too_short_for_a_head_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a-1.fa", None, "acgt" * 20)], "seq_id long, tr string, te string, seq string")
+    with pytest.raises(ValueError, match="passages"):
+        splits.overlapping_splits(df, "seq_id", "seq", "tr", "te", percent=30, least=20)
+
+
+def test_a_full_filter_loses_nothing(spark, rows, monkeypatch):
+    texts = [dna(120) for _ in range(40)]
+    data = [(i, "a-1.fa", None, t) for i, t in enumerate(texts)] + [(100 + i, None, "b-1.fa", changed(t, 3)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(data, "seq_id long, tr string, te string, seq string")
+    exact = rows(splits.overlapping_splits(df, "seq_id", "seq", "tr", "te"))
+    monkeypatch.setattr(splits, "MOST_BITS", 1 << 12)
+    monkeypatch.setattr(splits, "BITS_EACH", 1000)
+    assert len(exact) >= 30 and rows(splits.overlapping_splits(df, "seq_id", "seq", "tr", "te")) == exact
+
+
 def test_frequent_items_are_exact(spark, rows):
     rng = random.Random(2)
     stream = ["heavy"] * 400 + ["other"] * 150 + [f"x{rng.randrange(10**6)}" for _ in range(8000)] + [None] * 50
