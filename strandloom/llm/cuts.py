@@ -1,15 +1,18 @@
 """Texts that were cut off, found by how often their last words go on elsewhere.
 
-All of it is SQL: texts become arrays of words and sentence marks, and trigrams
-of words, also with places left open, are counted inside of sentences (another
-word follows) and at ends (a sentence mark, a block's or the text's end
-follows). Texts that were posted many times are counted and scored once and the
-result goes back to all their rows, so that copies of a cut text do not vouch
-for its end. The trigrams at the end of each text are joined with these counts; a
-text whose last trigrams are frequent inside but almost never terminal was cut.
-Beside it stand three plain signs: the last word is only the beginning of
-common words, markup is left open at the very end, and the text's length is one
-at which the lengths of its source pile up (the limit of a field).
+All of it is SQL: texts become arrays of words and signs, and trigrams of words,
+also with places left open, are counted inside of sentences (another word
+follows), before sentence marks and at the ends of blocks and texts. Texts that
+were posted many times are counted and scored once and the result goes back to
+all their rows, so that copies of a cut text do not vouch for its end. The
+trigrams at the end of each text are joined with these counts; a text whose last
+trigrams are frequent inside but almost never terminal was cut. A last word that
+nobody else wrote, but that begins common words, is half a word; its trigrams
+speak by these longer words.
+
+Lengths at which the lengths of a source's texts pile up (the limit of a field)
+support this: a text of such a length was cut unless its last trigrams are those
+of the ends of texts. Markup that is left open at the end is the only other sign.
 """
 
 from __future__ import annotations
@@ -17,67 +20,110 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import stable
+from ..runtime import small, stable
 
 #: Marks that end a sentence (fixed values).
 STOPS = ".!?。！？…"
 #: Scripts written without blanks, where a character counts as a word (fixed value, Java classes).
 UNSPACED = r"぀-ヿ㐀-鿿"
-#: Tags that end a line or block; others are dropped (fixed values).
-BLOCKS = r"(?i)<br\s*/?>|</?(?:p|div|blockquote|li|ul|ol|tr|table|pre)(?:\s[^<>]*)?>|\[/?(?:quote|code|list)(?:=[^\]]*)?\]|\n\s*\n|\n[-_=*~]{2,}\s*\n|```"
+#: Tags and marks that end a line or block; other tags are dropped (fixed values).
+BLOCKS = r"(?i)(?=[<\[\n`])(?:<br\s*/?>|</?(?:p|div|blockquote|li|ul|ol|tr|table|pre)(?:\s[^<>]*)?>|\[/?(?:quote|code|list)(?:=[^\]]*)?\]|\n\s*\n|\n[-_=*~]{2,}\s*\n|```)"
+#: The same without tags (fixed values).
+PARTS = r"\n\s*\n|\n[-_=*~]{2,}\s*\n|```"
 TAGS = r"(?i)</?[a-z][^<>]*>|\[/?[a-z]{1,10}(?:=[^\]]*)?\]"
-UNSEEN = r"[­​-‏⁠﻿]"
-TOKENS = rf"#stop|[\p{{L}}&&[^{UNSPACED}]][\p{{L}}\p{{M}}&&[^{UNSPACED}]]*(?:['’][\p{{L}}&&[^{UNSPACED}]]+)*|[{UNSPACED}]|\p{{N}}[\p{{N}}.,e%-]*\p{{N}}%?|\p{{N}}%?|[{STOPS}]+|[^\s\p{{L}}\p{{N}}]"
-
-#: Marks at a text's end that only stand for more text (fixed values).
-MARKS = r"(?i)\s*(?:\[(?:\.\.\.|…)\]|\((?:\.\.\.|…|more|continued|cont\.)\)|\[(?:more|truncated)\])$"
-#: The last line of a text that is a record of nucleotides (fixed value).
-RECORD = r"(?i)(?:^|\n)>\S ([acgtn]+)$"
-
-#: Words that stand behind complete posts like a smiley (fixed values).
-SIGNS = ("xd", "lol", "bump", "thx", "edit", "up")
-
-#: Gapped trigrams: places of the words, counted back from the last word (0).
+#: Signs behind which a sentence goes on, where they stand alone (fixed values); others, such as smileys, only separate words.
+JOINTS = r",;:(\[{«„–—&-"
+UNSEEN = r"[\u00AD\u200B-\u200F\u2060\uFEFF]"
+TOKENS = rf"#stop|[a-z]++(?:['’\p{{L}}\p{{M}}&&[^{UNSPACED}]]++)?|[\p{{L}}&&[^{UNSPACED}]]['’\p{{L}}\p{{M}}&&[^{UNSPACED}]]*+|[0-9][\p{{N}}.,e%-]*+|[{STOPS}]++|[{UNSPACED}]|\p{{N}}|(?<=[\s\p{{L}}\p{{N}}])[{JOINTS}](?=[\s\p{{L}}\p{{N}}]|$)|[^\s\p{{L}}\p{{N}}{STOPS}]++"
+#: First characters of words and of numbers beyond ASCII (fixed values, ranges of code points).
+WORDLIKE = (("a", "z"), ("ª", "῿"), ("぀", "鿿"), ("가", "힣"))
+#: White space, and signs of which ruled lines are made (fixed values).
+BLANKS, RULES = " \t\n\r\f\v", "-_=*~"
+#: Marks at a text's end that only stand for more text, and the most characters of one (fixed values).
+MARKS, LONGEST_MARK = r"(?i)(?:\[(?:\.\.\.|…)\]|\((?:\.\.\.|…|more|continued|cont\.)\)|\[(?:more|truncated)\])$", 12
+#: Entities that texts are full of (fixed values).
+ENTITIES = ("nbsp", "amp", "lt", "gt", "quot", "apos", "#")
+
+#: Gapped trigrams: places of the words, counted back from the last word (0). Those that show the last word come first.
 SHAPES = ((2, 1, 0), (1, 0), (0,), (2, 1), (3, 2, 1), (3, 2), (4, 3), (5, 4))
+SHOWN = 3
 #: Occurrences from which a trigram is heard, bound of its log odds, log odds at which it says nothing, and the sum from which a text is complete.
 HEARD, LOUD, SILENT, COMPLETE = 8, 6.0, -1.5, -3.0
+#: Last trigrams that are broadcast at most (256 MB), to count no others; beyond, all are counted.
+MOST_GRAMS = 4_000_000
 
 
-def tokens(text: Column) -> Column:
-    """Words in lower case, ``#`` for a number, ``#dna`` for long stretches of nucleotides, ``.`` for sentence ends, other signs as they are."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"&nbsp;?| ", " "), UNSEEN, "")
-    plain = F.regexp_replace(F.regexp_replace(plain, BLOCKS, " #stop "), TAGS, " ")
+def _marked(text: Column) -> Column:
+    """``tokens``, with the ends of blocks as ``¶`` and other signs as ``§``."""
+    plain = F.replace(F.replace(text, F.lit("&nbsp;"), F.lit(" ")), F.lit("\u00A0"), F.lit(" "))
+    plain = F.when(F.octet_length(text) > F.length(text), F.regexp_replace(plain, UNSEEN, "")).otherwise(plain)
+    untagged = F.regexp_replace(F.regexp_replace(plain, BLOCKS, " #stop "), TAGS, " ")
+    plain = F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("[")), untagged).otherwise(F.regexp_replace(plain, PARTS, " #stop "))
     got = F.regexp_extract_all(F.lower(plain), F.lit(TOKENS), F.lit(0))
-    return F.transform(
-        got,
-        lambda w: F.when(w.rlike(rf"^(#stop|[{STOPS}]+)$"), ".").when(w.rlike(r"^\p{N}"), "#").when(w.rlike("^[acgtn]{12,}$"), "#dna").otherwise(w),
-    )
 
+    def named(w: Column) -> Column:
+        is_word = F.lit(False)
+        for low, high in WORDLIKE:
+            is_word = is_word | w.between(low, high + "\U0010FFFF")
+        long = (F.length(w) >= 12) & w.rlike("^[acgtn]+$")
+        return (
+            F.when(is_word, F.when(long, "#dna").otherwise(w)).when(w.isin(list(",;:([{«„–—&-")), w).when(w == "#stop", "¶")
+            .when(w.between("0", "9\U0010FFFF"), "#").when(F.left(w, F.lit(1)).isin(list(STOPS)), ".").otherwise("§")
+        )
 
-def _is_word(w: Column) -> Column:
-    return w.rlike(r"^[\p{L}#]")
+    return F.transform(got, named)
+
+
+def tokens(text: Column) -> Column:
+    """Words in lower case, ``#`` for a number, ``#dna`` for long stretches of nucleotides, ``.`` for sentence and block ends, and signs, those behind which a sentence goes on as they are and others as ``§``."""
+    return F.transform(_marked(text), lambda w: F.when(w == "¶", ".").otherwise(w))
 
 
 def endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """Texts with what their ends look like: ``key, source, text_hash, sizes, body, body_hash, said, dotted``; blank and null texts are left out.
+    """Texts with what their ends look like: ``key, source, text_hash, sizes, body, body_hash, said, apart``; blank and null texts are left out.
 
-    ``body`` is the text without white space, rules and continuation marks at
-    its end; ``said`` tells whether it had a mark that only stands for more
-    text, ``dotted`` whether it had dots, which also end complete posts.
+    ``body`` is the text without white space, ruled lines and continuation marks
+    at its end; ``said`` tells whether it had a mark that only stands for more
+    text, ``apart`` whether dots stood apart from a full stop. A body may be empty.
     """
-    trimmed = F.regexp_replace(F.col(text), rf"(?i)(?:\s+(?:{'|'.join(SIGNS)}))?\s+$|\s+(?:{'|'.join(SIGNS)})$", "")
-    ruled = F.regexp_replace(trimmed, r"\n\s*[-_=*~]{5,}$", "")
-    said = F.regexp_replace(ruled, MARKS, "")
-    body = F.regexp_replace(said, r"\s*(\.\.\.+|…)$", "")
-    return docs.where(F.col(key).isNotNull() & (F.length(trimmed) > 0)).select(
-        F.col(key).alias("key"), F.col(source).alias("source"), F.xxhash64(text).alias("text_hash"), _sizes(F.col(text), body).alias("sizes"), body.alias("body"),
-        (F.length(said) < F.length(ruled)).alias("said"), (F.length(body) < F.length(said)).alias("dotted"),
-    ).withColumn("body_hash", F.xxhash64("body"))
+    without = lambda c, signs: F.rtrim(c, F.lit(signs))
+    last = lambda c: F.right(c, F.lit(1))
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).rlike(r"[^ \t\n\r\f\x0B]")).select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("text"), without(F.col(text), BLANKS).alias("trimmed"))
+    unruled = without(F.col("trimmed"), RULES)
+    is_rule = last(F.col("trimmed")).isin(list(RULES)) & (F.length("trimmed") - F.length(unruled) >= 5) & without(unruled, " \t").endswith("\n")
+    rows = rows.withColumn("ruled", F.when(is_rule, without(unruled, BLANKS)).otherwise(F.col("trimmed")))
+    marked = last(F.col("ruled")).isin("]", ")")
+    rows = rows.withColumn("mark", F.when(marked, F.length(F.regexp_extract(F.right("ruled", F.lit(LONGEST_MARK)), MARKS, 0))).otherwise(0))
+    rows = rows.withColumn("plain", F.when(F.col("mark") > 0, without(F.left("ruled", F.length("ruled") - F.col("mark")), BLANKS)).otherwise(F.col("ruled")))
+    undotted = without(F.col("plain"), ".…")
+    is_dots = F.col("plain").endswith("…") | F.col("plain").endswith("...")
+    rows = rows.withColumn("body", F.when(is_dots, without(undotted, BLANKS)).otherwise(F.col("plain")))
+    apart = is_dots & (F.length("body") < F.length(undotted)) & last(F.col("body")).isin(list(STOPS))
+    return rows.select(
+        "key", "source", F.xxhash64("text").alias("text_hash"), _sizes(F.col("text"), F.col("body")).alias("sizes"), "body", F.xxhash64("body").alias("body_hash"), (F.col("mark") > 0).alias("said"), apart.alias("apart")
+    )
 
 
 def different(ends: DataFrame) -> DataFrame:
-    """The different bodies of ``endings``, each once: ``body_hash, body, words``."""
-    return ends.select("body_hash", "body").distinct().withColumn("words", tokens(F.col("body")))
+    """The different bodies of ``endings``, each once: ``body_hash, words, hashes, lettered, closed, markup, torn``.
+
+    Ends of blocks are ``¶`` among the words, and signs that only separate are
+    ``§``, except at the end. The flags tell whether the body ends in a letter,
+    with a closing tag, within markup or within a character.
+    """
+
+    def bound(words: Column) -> Column:
+        core = F.array_position(F.transform(F.reverse(words), lambda w: w != "§"), F.lit(True)).cast("int")  # the last word from the end, from 1
+        return F.slice(words, F.lit(1), F.when(core > 0, F.size(words) - core + 1).otherwise(0))
+
+    body = F.col("body")
+    closed = F.right("body", F.lit(24)).rlike(r"(?:</|\[/)[a-zA-Z]{1,20}[>\]]$")
+    rows = ends.groupBy("body_hash").agg(F.first("body").alias("body"))
+    rows = rows.select(
+        "body_hash", F.transform(F.array(_marked(body)), bound)[0].alias("words"), F.right("body", F.lit(1)).rlike(r"\p{L}").alias("lettered"), closed.alias("closed"),
+        open_markup(body).alias("markup"), body.endswith("\ufffd").alias("torn"),
+    )
+    return rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
 
 
 def field_limits(texts: DataFrame, least: int = 40, times: int = 8, around: int = 15, apart: int = 4) -> DataFrame:
@@ -114,95 +160,127 @@ def at_limit(texts: DataFrame) -> DataFrame:
     return sizes.join(limits, on, "left_semi").select("key").distinct()
 
 
-def _shape(words: list[Column], n: int) -> Column:
-    places = SHAPES[n]
-    return F.xxhash64(F.lit(n), *[words[p] for p in places])
+def _shapes(places: list[Column]) -> Column:
+    return F.array(*[F.xxhash64(F.lit(n), *[places[p] for p in shape]) for n, shape in enumerate(SHAPES)])
 
 
-def trigram_counts(texts: DataFrame) -> DataFrame:
-    """``gram, n_inside, n_end`` of all trigrams of different texts; the last word of a text is at an end."""
-    blank = F.array(*[F.lit("^")] * 5)
-    w = F.concat(blank, F.col("words"))
-    n = F.size("words")
-    shifted = [F.slice(w, 6 - p, F.size("words")).alias(f"w{p}") for p in range(6)]
-    after = F.concat(F.slice("words", F.lit(2), F.size("words")), F.array(F.lit("."))).alias("after")
-    rows = texts.where(n > 0).select(F.explode(F.arrays_zip(*shifted, after)).alias("x")).select("x.*").where(_is_word(F.col("w0")))
-    cols = [F.col(f"w{p}") for p in range(6)]
-    grams = rows.select((F.col("after") == ".").cast("int").alias("end"), F.explode(F.array(*[_shape(cols, i) for i in range(len(SHAPES))])).alias("gram"))
-    return grams.groupBy("gram").agg(F.sum(1 - F.col("end")).alias("n_inside"), F.sum("end").alias("n_end"))
+def _hash(word: str) -> Column:
+    return F.xxhash64(F.lit(word))
+
+
+def _after(following: Column, stop: Column, block: Column, sign: Column) -> Column:
+    """What follows a word: 0 another word, 1 a sentence mark, 2 the end of a block or text, 3 a sign that tells nothing."""
+    return F.when(following.isNull() | (following == block), 2).when(following == stop, 1).when(following == sign, 3).otherwise(0)
+
+
+def trigram_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``gram, n_inside, n_stop, n_final`` of the wanted trigrams in different texts: how often a word, a sentence mark, and the end of a block or text follow.
+
+    ``wanted`` (``gram``, each once) is broadcast if it is small; else all
+    trigrams are counted. Either way they are added up before they are shuffled.
+    """
+    rows = texts.where(F.size("hashes") > 0).select(F.concat(F.array_repeat(_hash("^"), 5), "hashes").alias("h"), F.size("hashes").alias("n"))
+    shifted = [F.slice("h", 6 - p, F.col("n")).alias(f"w{p}") for p in range(6)]
+    rows = rows.select(F.inline(F.arrays_zip(*shifted, F.slice("h", F.lit(7), F.col("n")).alias("next")))).where(~F.col("w0").isin(_hash("."), _hash("¶"), _hash("§")))
+    words = [F.when(F.col(f"w{p}") == _hash("¶"), _hash(".")).otherwise(F.col(f"w{p}")) for p in range(6)]
+    grams = rows.select(_after(F.col("next"), _hash("."), _hash("¶"), _hash("§")).alias("after"), F.explode(_shapes(words)).alias("gram"))
+    if wanted.limit(MOST_GRAMS + 1).count() <= MOST_GRAMS:
+        grams = grams.join(F.broadcast(wanted), "gram", "left_semi")
+    return grams.groupBy("gram").agg(*[F.count_if(F.col("after") == i).alias(c) for i, c in enumerate(("n_inside", "n_stop", "n_final"))])
 
 
 def last_trigrams(texts: DataFrame) -> DataFrame:
-    """``body_hash, shape, gram`` of the different texts that end in a word."""
-    n = F.size("words")
-    w = [F.coalesce(F.get("words", n - 1 - p), F.lit("^")) for p in range(6)]
-    grams = [F.struct(F.lit(i).alias("shape"), _shape(w, i).alias("gram")) for i in range(len(SHAPES))]
-    ends = texts.where((n > 0) & _is_word(F.get("words", n - 1)) & (F.get("words", n - 1) != "#dna") & F.col("body").rlike(r"[\p{L}\p{N}%]$"))
-    return ends.select("body_hash", F.explode(F.array(*grams)).alias("x")).select("body_hash", "x.shape", "x.gram")
+    """``body_hash, shape, gram`` of the different texts that end in a word or sign other than the end of a sentence, a block or an element."""
+    n = F.size("hashes")
+    places = [F.coalesce(F.get("hashes", n - 1 - p), _hash("^")).alias(f"w{p}") for p in range(6)]
+    rows = texts.where((n > 0) & ~F.col("closed")).select("body_hash", *places).where(~F.col("w0").isin(_hash("."), _hash("¶"), _hash("§"), _hash("#dna")))
+    words = [F.when(F.col(f"w{p}") == _hash("¶"), _hash(".")).otherwise(F.col(f"w{p}")) for p in range(6)]
+    return rows.select("body_hash", F.posexplode(_shapes(words)).alias("shape", "gram"))
+
 
+def half_words(texts: DataFrame) -> DataFrame:
+    """``body_hash, odds`` of the different texts whose last word begins longer words: log odds of the word itself against those, at most ``LOUD`` below 0.
 
-def half_words(texts: DataFrame, last: DataFrame, counts: DataFrame) -> DataFrame:
-    """``body_hash`` of the different texts whose last word is rare in itself but begins words that are common."""
-    whole = SHAPES.index((0,))
-    words = texts.select(F.explode("words").alias("word")).where(F.col("word").rlike(r"^\p{L}{2,}")).groupBy("word").agg(F.count("*").alias("n"))
+    A word counts where it does not end a block or text, as only there half words stand.
+    """
+    n = F.size("words")
+    pairs = F.arrays_zip(F.col("words").alias("word"), F.slice("words", F.lit(2), n).alias("next"))
+    after = _after(F.col("next"), F.lit("."), F.lit("¶"), F.lit("§"))
+    both = texts.where(n > 0).select(F.inline(pairs)).where(F.length("word") > 1)
+    words = stable(both.groupBy("word").agg(F.count("*").alias("n"), F.count_if(after < 2).alias("n_used")).where(F.col("word").rlike(r"^\p{L}+$")))
+    ends = texts.where((n > 0) & F.col("lettered")).select("body_hash", F.get("words", n - 1).alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
     starts = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", F.lit(1), i))).alias("word"), "n")
     longer = starts.groupBy("word").agg(F.sum("n").alias("n_longer"))
-    ends = texts.select("body_hash", F.get("words", F.size("words") - 1).alias("word")).where(F.col("word").rlike(r"^\p{L}+$"))
-    alone = last.where(F.col("shape") == whole).join(counts, "gram").select("body_hash", "n_inside")
-    return ends.join(alone, "body_hash").join(longer, "word").where(F.col("n_longer") >= 10 * (F.col("n_inside") + 1)).select("body_hash").distinct()
+    known = longer.join(words.select("word", "n_used"), "word", "left")
+    odds = F.log((F.coalesce("n_used", F.lit(0)) + 0.5) / (F.col("n_longer") + 0.5))
+    return ends.join(known.select("word", F.greatest(odds, F.lit(-LOUD)).alias("odds")), "word").select("body_hash", "odds")
 
 
-def short_records(texts: DataFrame) -> Column:
-    """Whether a text ends in a record of nucleotides that is shorter than most such last lines are."""
-    size = F.length(F.regexp_extract("body", RECORD, 1))
-    usual = texts.select(size.alias("n")).where("n > 0").groupBy("n").count().agg(F.max(F.struct("count", "n"))).first()[0]  # one row
-    return size.between(1, (usual["n"] if usual else 0) - 1)
+def scores(texts: DataFrame) -> DataFrame:
+    """``body_hash, score, half, final`` of the different texts that do not end in a sentence mark.
+
+    ``score`` adds up the log odds of the last trigrams (terminal against
+    inside); the text itself does not count. Trigrams that leave out the last
+    word are not heard where this word almost only ends texts. In favour of a
+    text that ends in half a word (``half``) no trigram is heard, as other cut
+    texts end in it, too; its odds count instead.
+    ``final`` adds up the odds that blocks or texts end there, and not only
+    sentences.
+    """
+    last = stable(last_trigrams(texts))
+    counts = trigram_counts(texts, last.select("gram").distinct())
+    heard = last.join(counts, "gram").withColumn("n_final", F.col("n_final") - 1)
+    rest = F.col("n_inside") + F.col("n_stop")
+    is_heard = rest + F.col("n_final") >= HEARD
+    odds = lambda up, down: F.when(is_heard, F.greatest(F.lit(-LOUD), F.least(F.lit(LOUD), F.log((up + 0.5) / (down + 0.5)) - SILENT))).otherwise(0.0)
+    says, ends = odds(F.col("n_stop") + F.col("n_final"), F.col("n_inside")), odds(F.col("n_final"), rest)
+    shown = F.col("shape") < SHOWN
+    added = heard.groupBy("body_hash").agg(
+        F.sum(F.when(shown, says).otherwise(0.0)).alias("shown"), F.sum(F.when(~shown, says).otherwise(0.0)).alias("hidden"), F.sum(ends).alias("final"),
+        F.max((F.col("shape") == SHAPES.index((0,))) & (ends >= -2 * SILENT)).alias("closes"),
+    )
+    both = added.join(half_words(texts), "body_hash", "left")
+    half = F.coalesce(F.col("odds") < COMPLETE, F.lit(False))
+    hidden = F.when(F.col("closes"), F.greatest("hidden", F.lit(0.0))).when(half, F.least("hidden", F.lit(0.0))).otherwise(F.col("hidden"))
+    shown = F.when(half, F.least("shown", F.lit(0.0)) + F.col("odds")).otherwise(F.col("shown"))
+    score = shown + hidden
+    return both.select("body_hash", score.alias("score"), half.alias("half"), "final")
 
 
 def open_markup(body: Column) -> Column:
-    """The text ends within a tag, an entity or a BBCode element."""
-    return (
-        body.rlike(r"</?[a-zA-Z][^<>\n]{0,80}$")
-        | body.rlike(r"<$|</$|<!-*$")
-        | body.rlike(r"(?i)\[/?(?:q(?:u(?:o(?:t(?:e(?:=[^\]\n]*)?)?)?)?)?|s(?:i(?:z(?:e(?:=\d*)?)?)?)?|u(?:r(?:l(?:=[^\]\n]*)?)?)?|i(?:m(?:g)?)?|b|c(?:o(?:d(?:e)?)?)?)?$")
-        | body.rlike(r"&(?:#\d{0,5}|[a-z]{1,5})$")
-        | body.rlike(r"(?i)\[(size|url|color|img|font)[^\]]*\](?!.*\[/\1\])[^\n]{0,120}$")
-        | body.rlike(r"(?i)<(i|b|a|em|span)(\s[^<>]*)?>(?!.*</\1>)[^\n.!?<>]{0,60}$")
-    )
+    """The text ends within a tag, an entity or a BBCode element: what follows the last opening sign does not close it."""
+    after = lambda sign: F.when(F.contains(body, F.lit(sign)), F.substring_index(body, sign, -1))
+    tag, code, entity = after("<"), after("["), after("&")
+    in_tag = tag.rlike(r"^(?:/?[a-zA-Z][^>\n]*|/|!-*)?$")
+    in_code = code.rlike(r"^/?(?:[a-zA-Z]{1,10}(?:=[^\]]*)?)?$")
+    in_entity = entity.rlike(r"^(?:#\d*|[a-z]+)$") & F.exists(F.array(*[F.lit(e) for e in ENTITIES]), lambda e: F.startswith(e, F.left(entity, F.length(e))) & (F.length(entity) <= F.length(e) + F.when(e == "#", 6).otherwise(0)))
+    line = F.substring_index(body, "\n", -1)
+    unclosed = line.rlike(r"(?i)\[(size|url|color|img|font)[^\]]*\](?!.*\[/\1\])") | line.rlike(r"(?i)<(i|b|a|em|span)(\s[^<>]*)?>(?!.*</\1>)[^.!?]*$")
+    return F.coalesce(in_tag, F.lit(False)) | F.coalesce(in_code, F.lit(False)) | F.coalesce(in_entity, F.lit(False)) | unclosed
 
 
 def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Texts that were cut off: ``key, source, reason``.
 
-    ``reason`` is ``limit`` (length of a field's limit, or a mark such as
-    ``[...]`` at the end), ``markup`` (left open), ``word`` (half a word, or a
-    nucleotide record shorter than usual) or ``sentence`` (trigrams that always
-    go on, a comma or an opening bracket at the end, or dots behind a full
-    stop), the first that holds. Null,
+    ``reason`` is ``limit`` (length of a field's limit, unless the last words
+    are those of text ends, or a mark such as ``[...]`` at the end), ``markup``
+    (left open), ``word`` (half a word) or ``sentence`` (trigrams that always go
+    on, or dots apart behind a full stop), the first that holds. Null,
     empty and blank texts and rows without a key are never cut; a null source
     is a source of its own; repeated rows of a key give one row. Copies of a
     text (the same up to white space and dots at the end) count as one text in
     all counts. An empty table gives no rows.
     """
-    ends = stable(endings(docs, key, text, source))
+    ends = stable(endings(docs, key, text, source)).where("length(body) > 0")
     texts = stable(different(ends))
-    counts = trigram_counts(texts)
-    last = stable(last_trigrams(texts))
-    heard = stable(last.join(counts, "gram").select("body_hash", "shape", "gram", "n_inside", (F.col("n_end") - 1).alias("n_end")))
-    odds = F.log((F.col("n_end") + 0.5) / (F.col("n_inside") + 0.5)) - SILENT
-    says = F.when(F.col("n_end") + F.col("n_inside") >= HEARD, F.greatest(F.lit(-LOUD), F.least(F.lit(LOUD), odds))).otherwise(0.0)
-    scored = heard.groupBy("body_hash").agg(F.sum(says).alias("score"))
-    body = F.col("body")
-    half = half_words(texts, last, heard.select("gram", "n_inside").distinct())
-    hanging = body.rlike(r"[,;(\[{«„–—&]$|\s-$") & ~body.rlike(r"[;:]-?[(]$")
-    signs = texts.select(
-        "body_hash", open_markup(body).alias("markup"), (short_records(texts) | body.endswith("\ufffd")).alias("short"), hanging.alias("hanging"), body.rlike(rf"[{STOPS}]$").alias("stopped")
-    )
-    signs = signs.join(half.withColumn("half", F.lit(True)), "body_hash", "left").join(scored, "body_hash", "left")
-    flags = ends.select("key", "source", "body_hash", "said", "dotted").join(at_limit(ends).withColumn("limit", F.lit(True)), "key", "left").join(signs, "body_hash")
+    scored = scores(texts)
+    signs = texts.select("body_hash", "markup", "torn").join(scored, "body_hash", "left")
+    flags = ends.select("key", "source", "body_hash", "said", "apart").join(at_limit(ends).withColumn("limit", F.lit(True)), "key", "left").join(signs, "body_hash")
+    is_limit = F.col("limit") & F.coalesce(F.col("final") <= 0, F.lit(True))
+    is_cut = F.col("score") < COMPLETE
     reason = (
-        F.when(F.col("limit") | F.col("said"), "limit").when(F.col("markup"), "markup").when(F.col("half") | F.col("short"), "word")
-        .when(F.col("hanging") | (F.col("dotted") & F.col("stopped")) | (F.col("score") < COMPLETE), "sentence")
+        F.when(is_limit | F.col("said"), "limit").when(F.col("markup"), "markup")
+        .when((F.col("half") & is_cut) | F.col("torn"), "word").when(is_cut | F.col("apart"), "sentence")
     )
     return flags.select(F.col("key").alias(key), F.col("source").alias(source), reason.alias("reason")).where("reason is not null").dropDuplicates([key])
 
