@@ -34,7 +34,10 @@ TAGS = r"(?i)</?[a-z][^<>]*>|\[/?[a-z]{1,10}(?:=[^\]]*)?\]"
 #: Signs behind which a sentence goes on, where they stand alone (fixed values); others, such as smileys, only separate words.
 JOINTS = r",;:(\[{«„–—&-"
 UNSEEN = r"[\u00AD\u200B-\u200F\u2060\uFEFF]"
-TOKENS = rf"#stop|[a-z]++(?:['’\p{{L}}\p{{M}}&&[^{UNSPACED}]]++)?|[\p{{L}}&&[^{UNSPACED}]]['’\p{{L}}\p{{M}}&&[^{UNSPACED}]]*+|[0-9][\p{{N}}.,e%-]*+|[{STOPS}]++|[{UNSPACED}]|\p{{N}}|(?<=[\s\p{{L}}\p{{N}}])[{JOINTS}](?=[\s\p{{L}}\p{{N}}]|$)|[^\s\p{{L}}\p{{N}}{STOPS}]++"
+TOKENS = (
+    rf"[a-z]++(?:['’\p{{L}}\p{{M}}&&[^{UNSPACED}]]++)?|(?!\s)(?:[0-9][\p{{N}}.,e%-]*+|[{STOPS}]++|#stop|[{UNSPACED}]|\p{{L}}['’\p{{L}}\p{{M}}&&[^{UNSPACED}]]*+|\p{{N}}"
+    rf"|(?<=[\s\p{{L}}\p{{N}}])[{JOINTS}](?=[\s\p{{L}}\p{{N}}]|$)|[^\s\p{{L}}\p{{N}}{STOPS}]++)"
+)
 #: First characters of words and of numbers beyond ASCII (fixed values, ranges of code points).
 WORDLIKE = (("a", "z"), ("ª", "῿"), ("぀", "鿿"), ("가", "힣"))
 #: White space, and signs of which ruled lines are made (fixed values).
