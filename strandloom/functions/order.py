@@ -110,7 +110,7 @@ def alphabet_of(size: int, order: int) -> int:
 
 
 class Orders:
-    """The order-n views of a collection ``seq_id, obs``, each made once and cached."""
+    """The order-n views of a collection ``seq_id, obs``, each made once and cached until ``release``."""
 
     def __init__(self, sequences: DataFrame, alphabet: int) -> None:
         self.sequences, self.alphabet, self._views = sequences, alphabet, {}
@@ -120,3 +120,9 @@ class Orders:
             codes = OrderCodes(self.alphabet, order).encode(F.col("obs"))
             self._views[order] = self.sequences.withColumn("obs", codes).cache()
         return self._views[order]
+
+    def release(self) -> None:
+        """Takes all views out of the cache."""
+        for view in self._views.values():
+            view.unpersist()
+        self._views.clear()

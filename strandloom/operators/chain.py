@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..runtime import small
+
+#: Cells of a chain that are broadcast at most; larger tables are joined by shuffling.
+MOST_CELLS = 1_000_000
+
 
 def _code(obs: Column, t: Column, order: int, alphabet: int) -> Column:
     """Code of the symbols t-order .. t, the newest with weight 1; null where one is missing or outside."""
@@ -22,6 +27,10 @@ def _code(obs: Column, t: Column, order: int, alphabet: int) -> Column:
     return F.when(known, total)
 
 
+def _places(obs: str, begin: int = 0) -> Column:
+    return F.when(F.size(obs) > begin, F.sequence(F.lit(begin), F.size(obs) - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def domain(spark: SparkSession, alphabet: int, order: int) -> DataFrame:
     """All cells ``ord, code`` of all orders."""
     parts = [spark.range(alphabet ** (o + 1)).select(F.lit(o).alias("ord"), F.col("id").alias("code")) for o in range(order + 1)]
@@ -33,10 +42,8 @@ def domain(spark: SparkSession, alphabet: int, order: int) -> DataFrame:
 
 def window_counts(sequences: DataFrame, alphabet: int, order: int) -> DataFrame:
     """``ord, code, cnt`` of the windows that occur, for all orders 0 to ``order`` in one pass."""
-    places = F.when(F.size("obs") > 0, F.sequence(F.lit(0), F.size("obs") - 1)).otherwise(F.array().cast("array<int>"))
-    at = sequences.select("obs", F.explode(places).alias("t"))
-    cells = F.array(*[F.struct(F.lit(o).alias("ord"), _code(F.col("obs"), F.col("t"), o, alphabet).alias("code")) for o in range(order + 1)])
-    rows = at.select(F.explode(cells).alias("c")).select("c.ord", "c.code").where("code is not null")
+    cells = lambda t: F.array(*[F.struct(F.lit(o).alias("ord"), _code(F.col("obs"), t, o, alphabet).alias("code")) for o in range(order + 1)])
+    rows = sequences.select(F.inline(F.flatten(F.transform(_places("obs"), cells)))).where("code is not null")
     return rows.groupBy("ord", "code").agg(F.count("*").alias("cnt"))
 
 
@@ -77,15 +84,18 @@ def evaluate(sequences: DataFrame, table: DataFrame, alphabet: int, order: int,
     """``seq_id, t, value`` of every place from ``begin`` on.
 
     Place t is conditioned on the longest known context, of min(t - context,
-    order) symbols. The table (one row for each cell, alphabet**(order + 1) at
-    most) is broadcast.
+    order) symbols. The table has one row for each cell, alphabet**(order + 1)
+    at most in its largest order; up to ``MOST_CELLS`` rows are broadcast.
     """
-    places = F.when(F.size("obs") > begin, F.sequence(F.lit(begin), F.size("obs") - 1)).otherwise(F.array().cast("array<int>"))
-    at = sequences.select("seq_id", "obs", F.explode(places).alias("t"))
-    depth = F.least(F.col("t") - context, F.lit(order))
-    code = F.coalesce(*[F.when(depth == o, _code(F.col("obs"), F.col("t"), o, alphabet)) for o in range(order + 1)])
+
+    def cell(t: Column) -> Column:
+        depth = F.least(t - context, F.lit(order))
+        code = F.coalesce(*[F.when(depth == o, _code(F.col("obs"), t, o, alphabet)) for o in range(order + 1)])
+        return F.struct(t.alias("t"), depth.alias("ord"), code.alias("code"))
+
+    at = sequences.select("seq_id", F.inline(F.transform(_places("obs", begin), cell)))
     cells = table.select("ord", "code", F.col("logp" if log else "p").alias("value"))
-    return at.select("seq_id", "t", depth.alias("ord"), code.alias("code")).join(F.broadcast(cells), ["ord", "code"], "left").select("seq_id", "t", "value")
+    return at.join(small(cells, MOST_CELLS), ["ord", "code"], "left").select("seq_id", "t", "value")
 
 
 def cumulative(values: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,12 +76,31 @@ def is_hit(path: Column, background: list[int], length: int) -> Column:
     return F.size(F.filter(path, lambda s: ~s.isin(background))) > length // 2
 
 
+def hit_flags(sequences: DataFrame, models: list[tuple[HiddenModel, list[int], int]]) -> DataFrame:
+    """``seq_id, hits``: for each model (with background states and motif length) whether it hits the sequence; all models in one pass.
+
+    ``seq_id`` may be a struct that carries other columns. A sequence without a path has no hit.
+    """
+    kind = sequences.schema["seq_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in infer._batches(batch.column(1), states=max([m.states for m, _, _ in models], default=1)):
+                part = batch.take(pa.array(rows))
+                flags = np.zeros((len(rows), len(models)), bool)
+                for i, (model, background, length) in enumerate(models):
+                    codes, sizes = infer.padded(part.column(1), model.symbols)
+                    _, paths = infer.viterbi_batch(model, codes, sizes)
+                    flags[:, i] = [path is not None and len(path) - np.isin(path, background).sum() > length // 2 for path in paths]
+                offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * len(models))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flags.ravel()))], ["seq_id", "hits"])
+
+    return infer.integral(sequences).select("seq_id", "obs").mapInArrow(run, f"seq_id {kind}, hits array<boolean>")
+
+
 def hits(sequences: DataFrame, models: list[tuple[HiddenModel, list[int], int]]) -> DataFrame:
     """``seq_id, hit``: whether any of the models (with background states and motif length) hits the sequence."""
-    if not models:
-        return sequences.select("seq_id", F.lit(False).alias("hit"))
-    parts = [infer.best_paths(sequences, m).select("seq_id", F.coalesce(is_hit(F.col("path"), bg, k), F.lit(False)).alias("hit")) for m, bg, k in models]
-    return reduce(DataFrame.unionByName, parts).groupBy("seq_id").agg(F.bool_or("hit").alias("hit"))
+    return hit_flags(sequences, models).select("seq_id", F.exists("hits", lambda h: h).alias("hit"))
 
 
 def roc_by_dataset(rows: DataFrame, dataset: str, truth: str, predicted: str) -> DataFrame:
@@ -94,26 +115,33 @@ def sweep(high: float = 0.1, low: float = 0.0001, n: int = 16) -> list[float]:
 
 
 def roc_sweep(sequences: DataFrame, motif: Motif, model: HiddenModel, truth: str, values: list[float]) -> DataFrame:
-    """``p, tp, tn, fp, fn`` of hits with the binding probability set to each value; ``sequences`` has the column ``truth``."""
-    parts = []
+    """``p, tp, tn, fp, fn`` of hits with the binding probability set to each value; ``sequences`` has the column ``truth``.
+
+    Every sequence is read once and decoded under all values in turn.
+    """
+    models = []
     for p in values:
         own = model.copy()
         motif.set_p_binding(own, p)
-        found = hits(sequences, [(own, motif.background, motif.length)])
-        parts.append(sequences.select("seq_id", truth).join(found, "seq_id").agg(*confusion(F.col(truth), F.col("hit"))).select(F.lit(p).alias("p"), "tp", "tn", "fp", "fn"))
-    return reduce(DataFrame.unionByName, parts)
+        models.append((own, motif.background, motif.length))
+    found = hit_flags(sequences.select(F.struct(F.col(truth).alias("truth")).alias("seq_id"), "obs"), models)
+    each = found.select("seq_id.truth", F.posexplode("hits").alias("i", "hit")).groupBy("i").agg(*confusion(F.col("truth"), F.col("hit")))
+    names = F.array(*[F.lit(float(p)) for p in values])
+    return each.select(F.get(names, F.col("i")).alias("p"), "tp", "tn", "fp", "fn")
 
 
-def matched_negatives(positives: DataFrame, negatives: DataFrame, text: str = "seq") -> DataFrame:
+def matched_negatives(positives: DataFrame, negatives: DataFrame, text: str = "seq", strict: bool = True) -> DataFrame:
     """The n-th negative cut to the length of the n-th positive: ``ord, seq``.
 
     Both are ``ord, seq`` with a running number. A positive without a negative
-    of its length is an error.
+    of its length is an error, or, unless ``strict``, a row with a null text.
     """
     p = positives.select("ord", F.length(text).alias("n"))
     joined = p.join(negatives.select("ord", F.col(text).alias("neg")), "ord", "left")
-    short = F.raise_error(F.concat(F.lit("no negative is long enough for "), F.col("ord").cast("string"))).cast("string")
-    return joined.select("ord", F.when(F.length("neg") >= F.col("n"), F.substr("neg", F.lit(1), F.col("n"))).otherwise(short).alias(text))
+    short = F.lit(None)
+    if strict:
+        short = F.raise_error(F.concat(F.lit("no negative is long enough for "), F.col("ord").cast("string")))
+    return joined.select("ord", F.when(F.length("neg") >= F.col("n"), F.substr("neg", F.lit(1), F.col("n"))).otherwise(short.cast("string")).alias(text))
 
 
 def _by_falling_length(rows: DataFrame, text: str) -> DataFrame:

@@ -12,7 +12,7 @@ codes beyond M are refused. A null sequence gives nulls.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,20 +65,20 @@ def log_likelihood(obs: Column, model: HiddenModel) -> Column:
 
 
 def log_likelihoods(sequences: DataFrame, model: HiddenModel) -> DataFrame:
-    """``seq_id, ll``."""
+    """``seq_id, ll``; a native fold under few states, else an Arrow function that keeps one time step."""
     if model.states <= FOLD_STATES:
         return integral(sequences).select("seq_id", log_likelihood(F.col("obs"), model).alias("ll"))
-    return trellis(sequences, model).select("seq_id", "ll")
+    return _scored(sequences, model, forward_ll_batch)
 
 
 def total_log_likelihood(sequences: DataFrame, model: HiddenModel) -> DataFrame:
     """One row ``ll, n_known, ll_per_known``: the collection's log-likelihood, also for each known symbol."""
-    lls = log_likelihoods(sequences.select("seq_id", "obs"), model) if model.states > FOLD_STATES else sequences.select("obs", log_likelihood(F.col("obs"), model).alias("ll"))
+    known = F.size(F.filter("obs", lambda x: x < model.symbols))
     if model.states <= FOLD_STATES:
-        known = F.size(F.filter("obs", lambda x: x < model.symbols))
-        return lls.agg(F.sum("ll").alias("ll"), F.sum(known).cast("bigint").alias("n_known")).withColumn("ll_per_known", F.try_divide("ll", "n_known"))
-    known = sequences.agg(F.sum(F.size(F.filter("obs", lambda x: x < model.symbols))).cast("bigint").alias("n_known")).first()[0] or 0
-    return lls.agg(F.sum("ll").alias("ll")).withColumn("n_known", F.lit(known).cast("bigint")).withColumn("ll_per_known", F.try_divide("ll", "n_known"))
+        lls = sequences.select(log_likelihood(F.col("obs"), model).alias("ll"), known.alias("known"))
+    else:  # the count travels beside its sequence, so that it is read once
+        lls = _scored(sequences.select(known.alias("seq_id"), "obs"), model, forward_ll_batch).select("ll", F.col("seq_id").alias("known"))
+    return lls.agg(F.sum("ll").alias("ll"), F.sum("known").cast("bigint").alias("n_known")).withColumn("ll_per_known", F.try_divide("ll", "n_known"))
 
 
 # ---- Arrow kernels
@@ -110,6 +110,35 @@ def forward_batch(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray) -> t
     return alpha, sums
 
 
+def forward_ll_batch(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log-likelihoods by the forward recursion; only one time step is kept."""
+    pi, a, emit = model.pi, model.a, model.b_unknown.T
+    ll, alpha = np.zeros(len(codes)), None
+    for t in range(codes.shape[1]):
+        raw = (pi[None] if alpha is None else alpha @ a) * emit[codes[:, t]]
+        total = raw.sum(1)
+        with np.errstate(divide="ignore"):
+            ll += np.where(sizes > t, np.log(total), 0.0)
+        alpha = raw / np.where(total > 0, total, 1)[:, None]
+    return ll
+
+
+def backward_ll_batch(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log-likelihoods by the backward recursion alone, scaled by its own sums; only one time step is kept."""
+    pi, a, emit = model.pi, model.a, model.b_unknown.T
+    ll, beta = np.zeros(len(codes)), np.ones((len(codes), model.states))
+    for t in range(codes.shape[1] - 1, -1, -1):
+        ahead = emit[codes[:, t]] * beta
+        before = ahead @ (pi[:, None] if t == 0 else a.T)
+        total = before.sum(1)
+        inside = sizes > t
+        with np.errstate(divide="ignore"):
+            ll += np.where(inside, np.log(total), 0.0)
+        if t:
+            beta = np.where(inside[:, None], before / np.where(total > 0, total, 1)[:, None], 1.0)
+    return ll
+
+
 def backward_batch(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray, sums: np.ndarray) -> np.ndarray:
     """beta scaled by the forward sums, so that alpha * beta is the posterior."""
     a, emit = model.a, model.b_unknown.T
@@ -177,6 +206,21 @@ def _batches(lists: pa.ListArray, cells: int = 2_000_000, states: int = 1) -> It
         at = to
 
 
+def _scored(sequences: DataFrame, model: HiddenModel, kernel: Callable[[HiddenModel, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """``seq_id, ll`` by a kernel over batches of codes."""
+    kind = sequences.schema["seq_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in _batches(batch.column(1)):
+                part = batch.take(pa.array(rows))
+                codes, sizes = padded(part.column(1), model.symbols)
+                ll = kernel(model, codes, sizes)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ll, pa.float64(), mask=sizes < 0)], ["seq_id", "ll"])
+
+    return integral(sequences).select("seq_id", "obs").mapInArrow(run, f"seq_id {kind}, ll double")
+
+
 def best_paths(sequences: DataFrame, model: HiddenModel) -> DataFrame:
     """``seq_id, log_p, path``."""
     kind = dict(sequences.dtypes)["seq_id"]
@@ -224,14 +268,8 @@ def posteriors(sequences: DataFrame, model: HiddenModel) -> DataFrame:
 
 
 def backward_log_likelihood(sequences: DataFrame, model: HiddenModel) -> DataFrame:
-    """``seq_id, ll`` from the backward values alone: ln of sum of pi b beta at the start, with the scale sums."""
-    pi, emit = model.pi, model.b_unknown
-    first = sequences.select("seq_id", F.get("obs", F.lit(0)).alias("o"))
-    rows = trellis(sequences, model).select("seq_id", F.get("beta", F.lit(0)).alias("b"), "sums")
-    e = [F.array(*[F.lit(float(x)) for x in row]) for row in emit]
-    total = sum((float(pi[i]) * F.get(e[i], F.col("o")) * F.get("b", F.lit(i)) for i in range(model.states)), F.lit(0.0))
-    rest = F.aggregate(F.slice("sums", 2, F.size("sums")), F.lit(0.0), lambda s, x: s + F.log(x))
-    return rows.join(first, "seq_id").select("seq_id", F.when(F.size("sums") == 0, 0.0).otherwise(F.log(total) + rest).alias("ll"))
+    """``seq_id, ll`` from the backward values alone; one row for each row, whatever its id."""
+    return _scored(sequences, model, backward_ll_batch)
 
 
 def consistent(sequences: DataFrame, model: HiddenModel, tolerance: float = 1e-6) -> DataFrame:

@@ -6,6 +6,8 @@ no shuffle is needed. Starts and ends are half-open. Null paths give no sites.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,15 +65,24 @@ def site_symbols(rows: DataFrame, column: str) -> DataFrame:
     return found.select("seq_id", "r.start", "r.end", F.slice("obs", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).alias("site"))
 
 
-def mask_sites(decoded: DataFrame, states: list[int], unknown: int) -> DataFrame:
-    """``seq_id, obs``: symbols in the given states made unknown."""
-    return decoded.select("seq_id", F.zip_with("obs", "path", lambda o, s: F.when(s.isin(states), F.lit(unknown)).otherwise(o)).alias("obs"))
+#: States by their numbers, or as a test of a state that may use other columns of its row.
+States = list[int] | Callable[[Column], Column]
+
+
+def _within(s: Column, states: States) -> Column:
+    return F.coalesce(states(s) if callable(states) else s.isin(states), F.lit(False))
+
+
+def mask_sites(decoded: DataFrame, states: States, unknown: int) -> DataFrame:
+    """``seq_id, obs``: symbols in the given states made unknown; symbols without a state stay, also beyond the end of a path and where it is null."""
+    masked = F.transform("obs", lambda o, i: F.when(_within(F.get("path", i), states), F.lit(unknown)).otherwise(o))
+    return decoded.select("seq_id", masked.alias("obs"))
 
 
-def mask_counts(decoded: DataFrame, states: list[int], starts: list[int]) -> DataFrame:
+def mask_counts(decoded: DataFrame, states: States, starts: States) -> DataFrame:
     """One row: how many sites (states of ``starts``) and symbols masking would remove."""
-    n = lambda which: F.coalesce(F.sum(F.size(F.filter("path", lambda s: s.isin(which)))), F.lit(0)).cast("bigint")
-    return decoded.select("path").agg(n(starts).alias("n_sites"), n(states).alias("n_symbols"))
+    n = lambda which: F.coalesce(F.sum(F.size(F.filter("path", lambda s: _within(s, which)))), F.lit(0)).cast("bigint")
+    return decoded.agg(n(starts).alias("n_sites"), n(states).alias("n_symbols"))
 
 
 def decode(sequences: DataFrame, model: HiddenModel) -> DataFrame:

@@ -60,13 +60,17 @@ def _hard(model: HiddenModel, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.
     n, m = model.states, model.symbols
     scores, paths = infer.viterbi_batch(model, codes, sizes)
     pi, a, b = np.zeros(n), np.zeros((n, n)), np.zeros((n, m))
-    for r, path in enumerate(paths):
-        if path:
-            q, o = np.array(path), codes[r, : len(path)]
-            pi[q[0]] += 1
-            np.add.at(a, (q[:-1], q[1:]), 1)
-            known = o < m
-            np.add.at(b, (q[known], o[known]), 1)
+    held = [(np.array(path), codes[r, : len(path)]) for r, path in enumerate(paths) if path]
+    if held:
+        q, o = (np.concatenate(x) for x in zip(*held))
+        first = np.cumsum([0, *[len(x) for x, _ in held[:-1]]])
+        inner = np.ones(len(q), bool)
+        inner[first] = False
+        later = np.flatnonzero(inner)
+        known = o < m
+        pi = np.bincount(q[first], minlength=n).astype(float)
+        a = np.bincount(q[later - 1] * n + q[later], minlength=n * n).reshape(n, n).astype(float)
+        b = np.bincount(q[known] * m + o[known], minlength=n * m).reshape(n, m).astype(float)
     return pi, a, b, float(scores[sizes >= 0].sum()), sum(p is None and s > 0 for p, s in zip(paths, sizes))
 
 
@@ -179,13 +183,17 @@ def cross_validated(sequences: DataFrame, model: HiddenModel, folds: int, most:
 
     ``tolerance`` is that of ``train`` for each known symbol; without it, its own default holds.
     """
+    held = infer.integral(sequences).select("seq_id", "obs").cache()  # for the time of the training
     parts = []
-    for k in range(folds):
-        own = fold_of(F.col("seq_id"), folds) == k
-        rest = sequences.where(~own)
-        bound = {} if tolerance is None else {"tolerance": per_known(rest, model, tolerance)}
-        trained, _ = train(rest, model, prior, most=most, **bound)
-        parts.append(infer.total_log_likelihood(sequences.where(own), trained).withColumn("fold", F.lit(k)))
+    try:
+        for k in range(folds):
+            own = fold_of(F.col("seq_id"), folds) == k
+            rest = held.where(~own)
+            bound = {} if tolerance is None else {"tolerance": per_known(rest, model, tolerance)}
+            trained, _ = train(rest, model, prior, most=most, **bound)
+            parts.append(infer.total_log_likelihood(sequences.where(own), trained).withColumn("fold", F.lit(k)))
+    finally:
+        held.unpersist()
     got = parts[0]
     for p in parts[1:]:
         got = got.unionByName(p)
