@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import consensus, symbols
 from ..functions.order import OrderCodes
-from ..models.builders import motif_model
+from ..models.builders import Motif, motif_model
 from ..models.hidden import dense
-from ..operators import chain, evaluate, infer, kmers, pssm, sites, train
+from ..operators import chain, evaluate, infer, kmers, learn, pssm, sites, train
+from ..runtime import shared_folder
 from ..sources import fasta as fasta_source
 from ..sources import tables
 from . import views
@@ -24,10 +27,18 @@ MODEL = dense(
 ROWS = [[0.85, 0.05, 0.05, 0.05], [0.05, 0.05, 0.85, 0.05], [0.05, 0.05, 0.05, 0.85], [0.85, 0.05, 0.05, 0.05], [0.05, 0.85, 0.05, 0.05], [0.05, 0.05, 0.85, 0.05]]
 SCORES = pssm.log_scores(ROWS)
 MOTIF = motif_model(0.02, ROWS)
+#: The same motif read backwards, and a model whose binding probability is swept.
+OTHER = motif_model(0.02, ROWS[::-1])
+SWEPT, SWEEP = Motif(6, p_site=0.02), evaluate.sweep(n=8)
 MER = "agtac"
 SEED = 7
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    """A new folder beside the intermediate tables."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def r6(c):  # noqa: ANN001, ANN201
     """Six decimals, without a negative zero."""
     return F.round(c, 6) + F.lit(0.0)
@@ -88,14 +99,21 @@ def _strings(freq: DataFrame) -> DataFrame:
 
 
 def distribution_strings(spark: SparkSession, d: str) -> DataFrame:
-    """Of the first 20 places; ``distribution_strings_all`` takes all."""
-    return _strings(pssm.frequencies(views.dna(spark, d), 20))
+    """Of the places of the reported sites; ``distribution_strings_all`` is of the records."""
+    return _strings(pssm.frequencies(views.aligned_sites(spark, d)))
 
 
 def distribution_strings_all(spark: SparkSession, d: str) -> DataFrame:
     return _strings(pssm.frequencies(views.dna(spark, d)))
 
 
+def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Records written in lines of 80 symbols and read again."""
+    path = _fresh(spark, "fasta")
+    fasta_source.write(views.fasta(spark, d).where("length(seq) > 0").select(F.col("seq_id").alias("ord"), "seq"), path, 80)
+    return fasta_source.read(spark, path).select(F.split("header", " ")[1].cast("bigint").alias("ord"), "seq")
+
+
 # ---- order-n codes
 
 
@@ -112,19 +130,20 @@ def order_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq_id", codes.valid(F.col("codes")).alias("valid"), codes.valid_symbols(F.col("obs")).alias("valid_symbols"), codes.n_known(F.col("codes")).alias("n_known"), wrong.alias("n_wrong"))
 
 
-def window_codes(spark: SparkSession, d: str) -> DataFrame:
-    """Of the first window of each sequence; ``window_codes_all`` takes every window."""
+def _windows(seqs: DataFrame) -> DataFrame:
     codes = OrderCodes(5, 2)
-    rows = views.orders(spark, d).where("size(obs) >= 3").select("seq_id", codes.encode_window(F.slice("obs", 1, 3)).alias("code"))
-    return rows.select("seq_id", "code", F.concat_ws("", F.transform(codes.decode_window(F.col("code")), lambda x: x.cast("string"))).alias("symbols"))
+    at = lambda i: F.struct(i.alias("start"), codes.encode_window(F.slice("obs", i + 1, 3)).alias("code"))
+    rows = seqs.where("size(obs) >= 3").select("seq_id", F.inline(F.transform(F.sequence(F.lit(0), F.size("obs") - 3), at)))
+    return rows.select("seq_id", "start", "code", F.concat_ws("", F.transform(codes.decode_window(F.col("code")), lambda x: x.cast("string"))).alias("symbols"))
+
+
+def window_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Of every window of the events; ``window_codes_all`` is of the orders."""
+    return _windows(views.events(spark, d))
 
 
 def window_codes_all(spark: SparkSession, d: str) -> DataFrame:
-    codes = OrderCodes(5, 2)
-    starts = F.sequence(F.lit(0), F.size("obs") - 3)
-    rows = views.orders(spark, d).where("size(obs) >= 3").select("seq_id", "obs", F.explode(starts).alias("start"))
-    rows = rows.select("seq_id", "start", codes.encode_window(F.slice("obs", F.col("start") + 1, 3)).alias("code"))
-    return rows.select("seq_id", "start", "code", F.concat_ws("", F.transform(codes.decode_window(F.col("code")), lambda x: x.cast("string"))).alias("symbols"))
+    return _windows(views.orders(spark, d))
 
 
 # ---- chains
@@ -242,8 +261,8 @@ def pssm_start_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 def information_content(spark: SparkSession, d: str) -> DataFrame:
-    """Of the first 30 places; ``information_content_all`` takes all."""
-    return pssm.information_content(pssm.frequencies(views.dna(spark, d), 30)).select("pos", r6("nats").alias("nats"))
+    """Of the places of the reported sites; ``information_content_all`` is of the records."""
+    return pssm.information_content(pssm.frequencies(views.aligned_sites(spark, d))).select("pos", r6("nats").alias("nats"))
 
 
 def information_content_all(spark: SparkSession, d: str) -> DataFrame:
@@ -251,8 +270,8 @@ def information_content_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def logo_heights(spark: SparkSession, d: str) -> DataFrame:
-    """Of the first 30 places; ``logo_heights_all`` takes all."""
-    return pssm.logo_heights(pssm.frequencies(views.dna(spark, d), 30)).select("pos", "sym", r6("height").alias("height"))
+    """Of the places of the reported sites; ``logo_heights_all`` is of the records."""
+    return pssm.logo_heights(pssm.frequencies(views.aligned_sites(spark, d))).select("pos", "sym", r6("height").alias("height"))
 
 
 def logo_heights_all(spark: SparkSession, d: str) -> DataFrame:
@@ -322,6 +341,19 @@ def sampled_sequences(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("seq_id", text("states").alias("states"), text("symbols").alias("symbols"))
 
 
+def motif_loglik(spark: SparkSession, d: str) -> DataFrame:
+    """Forward likelihood of every record under the six-place model (13 states)."""
+    return infer.log_likelihoods(views.dna(spark, d), MOTIF).select("seq_id", r6("ll").alias("ll"))
+
+
+def motif_loglik_backward(spark: SparkSession, d: str) -> DataFrame:
+    return infer.backward_log_likelihood(views.dna(spark, d), MOTIF).select("seq_id", r6("ll").alias("ll"))
+
+
+def motif_total_loglik(spark: SparkSession, d: str) -> DataFrame:
+    return infer.total_log_likelihood(views.dna(spark, d), MOTIF).select(F.round("ll", 4).alias("ll"), "n_known", r6("ll_per_known").alias("ll_per_known"))
+
+
 # ---- training
 
 
@@ -352,6 +384,65 @@ def trained_history(spark: SparkSession, d: str) -> DataFrame:
     return train.history_rows(seqs, [history]).select("run", "iteration", F.round("ll", 3).alias("ll"))
 
 
+def viterbi_training(spark: SparkSession, d: str) -> DataFrame:
+    """Objectives of training along the best paths."""
+    seqs = views.orders(spark, d)
+    _, history = train.train(seqs, MODEL, hard=True, tolerance=train.per_known(seqs, MODEL))
+    return train.history_rows(seqs, [history]).select("run", "iteration", F.round("ll", 3).alias("ll"))
+
+
+# ---- motif search
+
+
+def _known_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return views.inputs(spark, d).where("size(obs) > 0").select("seq_id", "obs", "digits")
+
+
+def _learned(spark: SparkSession, found: list[learn.Learned], firsts: list[int], places: int) -> DataFrame:
+    """``motif, ll, pos, sym, p``: the forward emissions of learned models."""
+    rows = [
+        (i, float(x.ll), pos, sym, float(x.model.b[first + pos, sym])) for i, (x, first) in enumerate(zip(found, firsts)) for pos in range(places) for sym in range(4)
+    ]
+    return spark.createDataFrame(rows, "motif int, ll double, pos int, sym int, p double").select("motif", F.round("ll", 2).alias("ll"), "pos", "sym", F.round("p", 4).alias("p"))
+
+
+def learned_motifs(spark: SparkSession, d: str) -> DataFrame:
+    """Motifs learned one after the other, each one's sites blanked before the next."""
+    motif = Motif(6, p_site=0.02, least_information=0.0)
+    found, _ = learn.learn_several(_known_inputs(spark, d).select("seq_id", "obs"), motif, find=2, attempts=3, starts=1, most=4)
+    return _learned(spark, found, [1] * len(found), 6)
+
+
+def seeded_motif(spark: SparkSession, d: str) -> DataFrame:
+    """Training from the most significant mer."""
+    rows = _known_inputs(spark, d)
+    found = learn.seeded(rows.select("seq_id", "obs"), rows.select("seq_id", "digits"), Motif(7, p_site=0.02), size=5, most=6)
+    return _learned(spark, [found], [1], 7)
+
+
+def gapped_motif(spark: SparkSession, d: str) -> DataFrame:
+    """Training of a motif with one gap from the candidate mer of the best score."""
+    rows = _known_inputs(spark, d)
+    mer, found = learn.single_gap(rows.select("seq_id", "obs"), rows.select("seq_id", "digits"), length=7, size=5, candidates=20, most=4)
+    return _learned(spark, [found], [1], 7).withColumn("mer", F.lit(mer))
+
+
+def motif_passes(spark: SparkSession, d: str) -> DataFrame:
+    """Two passes, the second over the sequences without the sites of the first."""
+    motif = Motif(6, p_site=0.02)
+    one = lambda s: learn.learn(s, motif, starts=1, most=4).model
+    models = learn.several_passes(_known_inputs(spark, d).select("seq_id", "obs"), one, lambda s, m: sites.analyse(s, m, motif.background, blank=True)[1], 2)
+    return _learned(spark, [learn.Learned(m, 0.0, []) for m in models], [1, 1], 6).drop("ll")
+
+
+def optimised_model(spark: SparkSession, d: str) -> DataFrame:
+    """The stay probabilities that a simplex search over the likelihood finds."""
+    model, ll = train.optimise(views.orders(spark, d), MODEL, [3, 7], steps=8)
+    return spark.createDataFrame([(float(ll), *map(float, model.theta[[3, 7]]))], "ll double, stay0 double, stay1 double").select(
+        F.round("ll", 2).alias("ll"), F.round("stay0", 4).alias("stay0"), F.round("stay1", 4).alias("stay1")
+    )
+
+
 # ---- sites
 
 
@@ -373,6 +464,31 @@ def site_files(spark: SparkSession, d: str) -> DataFrame:
     return tables.site_lines(_sites(spark, d))
 
 
+def site_file_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Sites written to a file and read again."""
+    path = _fresh(spark, "sites")
+    tables.write_sites(_sites(spark, d), path)
+    return tables.read_sites(spark, path).select("site", "seq_id", "start", "is_rev_comp", F.concat_ws(" ", F.transform("states", lambda s: s.cast("string"))).alias("states"))
+
+
+def indicator_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of errors among each user's events."""
+    rows = views.events(spark, d).withColumn("marks", F.transform("obs", lambda x: (x == 1).cast("int")))
+    return sites.indicator_sites(rows, "marks")
+
+
+def indicator_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of unknown symbols and of a's, with their symbols."""
+    rows = views.dna(spark, d).withColumn("marks", F.transform("obs", lambda x: x.isin(0, 4).cast("int")))
+    return sites.site_symbols(rows, "marks").select("seq_id", "start", "end", F.concat_ws("", F.transform("site", lambda s: s.cast("string"))).alias("site"))
+
+
+def blanked_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Records with the sites of the six-place model made unknown."""
+    _, blanked = sites.analyse(views.dna(spark, d), MOTIF, [0], blank=True)
+    return blanked.select("seq_id", F.concat_ws("", F.transform("obs", lambda s: s.cast("string"))).alias("obs"))
+
+
 def site_strands(spark: SparkSession, d: str) -> DataFrame:
     """Sites under the shared six-place model, turned to the forward strand."""
     decoded = sites.decode(views.dna(spark, d), MOTIF)
@@ -381,15 +497,22 @@ def site_strands(spark: SparkSession, d: str) -> DataFrame:
     return found.select("seq_id", "start", "end", text("site").alias("site"), "is_rev_comp")
 
 
+def _in_motif(s):  # noqa: ANN001, ANN202
+    """States 1 to 2 K; without a known fragment all but the background."""
+    return (s >= 1) & F.coalesce(s <= 2 * F.col("k"), F.lit(True))
+
+
 def masked_sites(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.inputs(spark, d).where("path is not null and obs is not null and size(path) = size(obs)")
-    masked = sites.mask_sites(rows, list(range(1, 29)), 4)
+    """All input sequences with the symbols in their fragment's motif states made unknown."""
+    rows = views.inputs(spark, d).where("obs is not null")
+    masked = sites.mask_sites(rows, _in_motif, 4)
     return masked.select("seq_id", F.concat_ws("", F.transform("obs", lambda s: s.cast("string"))).alias("obs"))
 
 
 def mask_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sites begin in the first state of either strand, 1 and 2 K."""
     rows = views.inputs(spark, d).where("path is not null")
-    return sites.mask_counts(rows, list(range(1, 29)), [1])
+    return sites.mask_counts(rows, _in_motif, lambda s: (s == 1) | F.coalesce(s == 2 * F.col("k"), F.lit(False)))
 
 
 def path_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -424,13 +547,40 @@ def base_roc(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.base_roc(decoded.select(truth.alias("truth"), infer.indicators(F.col("path"), [0]).alias("pred")), "truth", "pred")
 
 
+def _hit_rows(spark: SparkSession, d: str) -> DataFrame:
+    """``seq_id`` with fragment and truth (whether the own path leaves the background), and ``obs``."""
+    rows = views.inputs(spark, d).where("obs is not null and path is not null")
+    truth = F.coalesce(F.exists("path", lambda s: s > 0), F.lit(False))
+    return rows.select(F.struct("seq_id", "fragment", truth.alias("truth")).alias("seq_id"), "obs")
+
+
 def hits_by_fragment(spark: SparkSession, d: str) -> DataFrame:
     """Whether the six-place model hits a sequence, against whether its own path leaves the background."""
-    rows = views.inputs(spark, d).where("obs is not null and path is not null")
-    truth = F.exists("path", lambda s: s > 0)
-    found = evaluate.hits(rows.select("seq_id", "obs"), [(MOTIF, [0], 6)])
-    both = rows.select("seq_id", "fragment", F.coalesce(truth, F.lit(False)).alias("truth")).join(found, "seq_id")
-    return evaluate.roc_by_dataset(both, "fragment", "truth", "hit")
+    found = evaluate.hits(_hit_rows(spark, d), [(MOTIF, [0], 6)])
+    return evaluate.roc_by_dataset(found.select("seq_id.fragment", "seq_id.truth", "hit"), "fragment", "truth", "hit")
+
+
+def hits_by_models(spark: SparkSession, d: str) -> DataFrame:
+    """The same for two models, of which one must hit."""
+    found = evaluate.hits(_hit_rows(spark, d), [(MOTIF, [0], 6), (OTHER, [0], 6)])
+    return evaluate.roc_by_dataset(found.select("seq_id.fragment", "seq_id.truth", "hit"), "fragment", "truth", "hit")
+
+
+def _sweep(spark: SparkSession, d: str) -> DataFrame:
+    rows = _hit_rows(spark, d).select("obs", "seq_id.truth")
+    return evaluate.roc_sweep(rows, SWEPT, SWEPT.model(ROWS), "truth", SWEEP)
+
+
+def roc_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Hits under falling binding probabilities against whether the own path leaves the background."""
+    return _sweep(spark, d).select(r6("p").alias("p"), "tp", "tn", "fp", "fn")
+
+
+def roc_file(spark: SparkSession, d: str) -> DataFrame:
+    """The points of ``roc_sweep`` written to a file and read again."""
+    path = _fresh(spark, "roc")
+    tables.write_roc(_sweep(spark, d), path)
+    return tables.read_roc(spark, path)
 
 
 def fragment_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -445,12 +595,10 @@ def dataset_sequences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matched_negatives(spark: SparkSession, d: str) -> DataFrame:
-    """Records of the same number as the input sequences, cut to their lengths where they are long enough."""
+    """Records of the same number as the input sequences, cut to their lengths; null where there is none or it is too short."""
     pos = views.inputs(spark, d).where("digits is not null").select(F.col("seq_id").alias("ord"), F.col("digits").alias("seq"))
     neg = views.fasta(spark, d).select(F.col("seq_id").alias("ord"), F.col("digits").alias("seq"))
-    n = pos.select("ord", F.length("seq").alias("n"))
-    enough = neg.join(n, "ord").where(F.length("seq") >= F.col("n")).select("ord")
-    return evaluate.matched_negatives(pos.join(enough, "ord", "left_semi"), neg)
+    return evaluate.matched_negatives(pos, neg, strict=False)
 
 
 def paired_negatives(spark: SparkSession, d: str) -> DataFrame:
@@ -469,12 +617,12 @@ def ranked_fragments(spark: SparkSession, d: str) -> DataFrame:
 
 
 ALL = (
-    fasta_stripped, fasta_wrapped, encode_known_counts, decoded_letters, rev_comp_text, complement_counts, masked_sequences, sigmoid_values, log_factorials, distribution_strings, distribution_strings_all,
+    fasta_stripped, fasta_wrapped, fasta_roundtrip, encode_known_counts, decoded_letters, rev_comp_text, complement_counts, masked_sequences, sigmoid_values, log_factorials, distribution_strings, distribution_strings_all,
     order2_codes, order_roundtrip, window_codes, window_codes_all, chain_counts, chain_probs, chain_lower_order, chain_eval, chain_eval_cumulative, chain_eval_context,
     kmer_counts, kmer_seq_counts, kmer_revcomp_counts, kmer_top_by_sequences, kmer_most_common, kmer_significance, consensus_codes, consensus_of_customers, consensus_words,
     pssm_scores, pssm_max, pssm_both_strands, pssm_background, pssm_start_value, information_content, information_content_all, logo_heights, logo_heights_all, emission_entropy, informative_states,
-    forward_loglik, forward_loglik_orders, backward_loglik, trellis_consistency, total_loglik, posterior_gamma, viterbi_paths, binding_indicators, sampled_sequences,
-    bw_estep, bw_iteration, viterbi_counts, kfold_loglik, trained_history,
-    site_islands, site_texts, site_files, site_strands, masked_sites, mask_counts, path_edges,
-    site_overlaps, site_roc, base_roc, hits_by_fragment, fragment_summary, dataset_sequences, matched_negatives, paired_negatives, ranked_fragments,
+    forward_loglik, forward_loglik_orders, backward_loglik, trellis_consistency, total_loglik, posterior_gamma, viterbi_paths, binding_indicators, sampled_sequences, motif_loglik, motif_loglik_backward, motif_total_loglik,
+    bw_estep, bw_iteration, viterbi_counts, kfold_loglik, trained_history, viterbi_training, learned_motifs, seeded_motif, gapped_motif, motif_passes, optimised_model,
+    site_islands, site_texts, site_files, site_file_roundtrip, indicator_runs, indicator_texts, blanked_sites, site_strands, masked_sites, mask_counts, path_edges,
+    site_overlaps, site_roc, base_roc, hits_by_fragment, hits_by_models, roc_sweep, roc_file, fragment_summary, dataset_sequences, matched_negatives, paired_negatives, ranked_fragments,
 )

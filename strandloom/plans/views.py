@@ -71,3 +71,9 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = once(table(spark, sf_dir, "gettestdatasites"), "site_id")
     n = F.length(F.trim("sites"))
     return df.where("seq_id is not null and start is not null").where(n > 0).select("seq_id", "start", (F.col("start") + n).alias("end")).distinct()
+
+
+def aligned_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seq_id, obs``: the symbols of each reported site, the first of all sites under each other; ``seq_id`` is the site's."""
+    df = once(table(spark, sf_dir, "gettestdatasites"), "site_id")
+    return df.where("sites is not null").select(F.col("site_id").alias("seq_id"), code_array(text_codes(F.lower(F.trim("sites")))).alias("obs"))
