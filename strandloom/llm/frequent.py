@@ -42,8 +42,11 @@ def sketch_rows(items: DataFrame, depth: int, width: int) -> DataFrame:
     """One row ``level, bucket, cells`` for each bucket in use, summed over all partitions.
 
     ``items``: ``item`` and ``weight``, both BIGINT. A task sends at most
-    depth x width rows, whatever the number of items.
+    depth x width rows, whatever the number of items. Neighbouring partitions
+    are sketched together, so that there are at most two sketches for each core,
+    however many partitions the input has.
     """
+    items = items.coalesce(2 * items.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros((depth, width, BITS + 1), np.int64)

@@ -74,7 +74,44 @@ union all select 'total', mer, sum(t)::bigint, (select sum(t) from e)::bigint fr
 """
 
 
+#: Named entities that the texts hold, the last one first decoded last; a number is decoded by its code (fixed values).
+ENTITIES = (("&nbsp;?", " "), ("&#39;", "''"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+BBCODE = r"\[/?(?:b|i|u|s|quote|url|img|size|color|code|list|font|center|left|right|email|spoiler|sup|sub|table|tr|td|th|hr|pre|youtube|attach|\*)(?:[=\s][^\[\]]*)?\]"
+
+
+def words(text: str) -> str:
+    """Words of a text: entities decoded, tags blanked, unseen characters dropped, lower case, runs of letters and digits."""
+    for entity, sign in ENTITIES:
+        text = f"regexp_replace({text}, '{entity}', '{sign}', 'g')"
+    text = rf"regexp_replace({text}, '</?[a-zA-Z][^<>]*>|<!--(?s:.*?)-->', ' ', 'g')"
+    text = rf"regexp_replace({text}, '{BBCODE}', ' ', 'gi')"
+    text = rf"regexp_replace({text}, '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}-\x{{2064}}\x{{FEFF}}\x{{180E}}]', '', 'g')"
+    return rf"regexp_extract_all(lower({text}), '[\pL\pN]+')"
+
+
+P7 = f"""
+with d as (select doc_id, {words('text')} w from documents where text is not null), i as (select item_id, {words('item_text')} w from eval_items where item_text is not null),
+x as (select item_id, array_to_string(w[k:k+12], ' ') s from (select item_id, w, unnest(range(1, len(w) - 11)) k from i where len(w) >= 13)),
+y as (select doc_id, array_to_string(w[k:k+12], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 11)) k from d where len(w) >= 13))
+select distinct doc_id, item_id from y join x using (s)
+"""
+
+
+#: Diagonals with enough same words, all their stretches of 13 words or more with 80 % the same, and of these the ones within no other.
+P7_OVERLAPS = f"""
+with d as (select doc_id, {words('text')} w from documents where text is not null), i as (select item_id, {words('item_text')} w from eval_items where item_text is not null),
+x as (select item_id, k q, w[k] word from (select item_id, w, unnest(range(1, len(w) + 1)) k from i)), y as (select doc_id, k p, w[k] word from (select doc_id, w, unnest(range(1, len(w) + 1)) k from d)),
+m as (select doc_id, item_id, p - q shift, p from y join x using (word)),
+g as (select doc_id, item_id, shift from m group by all having count(*) >= 11),
+r as materialized (select m.*, row_number() over (partition by doc_id, item_id, shift order by p) k from m join g using (doc_id, item_id, shift)),
+l as (select doc_id, item_id, shift, max(n) longest from (select doc_id, item_id, shift, count(*) n from r group by doc_id, item_id, shift, p - k) group by all),
+s as materialized (select a.doc_id, a.item_id, a.shift, a.p b, z.p e, z.k - a.k + 1 n_same, z.p - a.p + 1 n_words from r a join r z using (doc_id, item_id, shift) where z.p - a.p >= 12 and 5 * (z.k - a.k + 1) >= 4 * (z.p - a.p + 1))
+select doc_id, item_id, shift, b - 1 start, n_same, n_words, longest from s join l using (doc_id, item_id, shift)
+where not exists (select 1 from s o where o.doc_id = s.doc_id and o.item_id = s.item_id and o.shift = s.shift and o.b <= s.b and o.e >= s.e and o.n_words > s.n_words)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_share": P3_SHARE, "p4_found": P4, "p4_report": P4_REPORT, "p5_found": P5, "p5_counts": P5_COUNTS,
+        "p1_found": P1, "p2_found": P2, "p3_found": P3, "p3_share": P3_SHARE, "p4_found": P4, "p4_report": P4_REPORT, "p5_found": P5, "p5_counts": P5_COUNTS, "p7_found": P7, "p7_overlaps": P7_OVERLAPS,
     }

@@ -23,6 +23,7 @@ from ..runtime import stable
 
 #: Rows that a block holds on average at most.
 BLOCK_ROWS = 100_000
+#: Numbers from which patterns are held as Python's whole numbers.
 DONE = np.iinfo(np.int64).max
 
 
@@ -71,16 +72,18 @@ class Sequence:
 def direct_comparison(sequences: list[Sequence], base: int, length: int, threshold: int, follows: set[int] | None = None) -> dict[tuple[int, ...], int]:
     """Patterns of ``length`` items held by at least ``threshold`` sequences, with their supports."""
     powers = [base**i for i in range(length - 1, -1, -1)]
+    done = base**length
+    kind = np.int64 if done < DONE else object  # numbers of long patterns are Python's
 
     def number(s: Sequence, bound: int) -> int:
-        got = s.least(tuple(bound // p % base for p in powers), follows, length) if bound < base**length else None
-        return DONE if got is None else sum(x * p for x, p in zip(got, powers))
+        got = s.least(tuple(bound // p % base for p in powers), follows, length) if bound < done else None
+        return done if got is None else sum(x * p for x, p in zip(got, powers))
 
     found: dict[tuple[int, ...], int] = {}
-    now = np.array([number(s, 0) for s in sequences], np.int64)
+    now = np.array([number(s, 0) for s in sequences], kind)
     while len(now) >= threshold:
         first, mark = now.min(), np.partition(now, threshold - 1)[threshold - 1]
-        if mark == DONE:
+        if mark == done:
             break
         if first == mark:
             moving = np.flatnonzero(now == first)
@@ -90,8 +93,8 @@ def direct_comparison(sequences: list[Sequence], base: int, length: int, thresho
             moving, bound = np.flatnonzero(now < mark), int(mark)
         for i in moving:
             now[i] = number(sequences[i], bound)
-        if len(now) > 64 and (now == DONE).mean() > 0.5:
-            keep = now != DONE
+        if len(now) > 64 and (now == done).mean() > 0.5:
+            keep = now != done
             sequences, now = [s for s, k in zip(sequences, keep) if k], now[keep]
     return found
 

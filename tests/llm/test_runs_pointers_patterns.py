@@ -89,3 +89,17 @@ def test_direct_comparison_skips_rare_patterns():
     seqs = [patterns.Sequence(np.arange(3), np.array([i, 100, 101]), 200) for i in range(50)]
     found = patterns.direct_comparison(seqs, 200, 2, 25)
     assert found == {(100, 101): 50}
+
+
+def test_numbers_of_long_patterns_do_not_overflow():
+    import numpy as np
+
+    tail = np.arange(290, 300)
+    seqs = [patterns.Sequence(np.arange(11), np.r_[i, tail], 300) for i in range(10)]
+    found = patterns.direct_comparison(seqs, 300, 9, 8)
+    assert found == {p: 10 for p in itertools.combinations(range(290, 300), 9)}
+
+
+def test_pointers_with_steps(spark, rows):
+    df = spark.createDataFrame([(10, 4, 3), (14, 10, 4), (20, 14, 6)], "id long, ptr long, steps long")
+    assert rows(pointers.double_pointers(df, [])) == [(10, 4, 3), (14, 4, 7), (20, 4, 13)]

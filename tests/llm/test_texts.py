@@ -72,7 +72,8 @@ def leak_rows(spark):
 
 @pytest.mark.parametrize("bound", [0, 1000])
 def test_leaks(spark, rows, monkeypatch, bound):
-    monkeypatch.setattr(leaks, "MOST_ITEMS", bound)
+    monkeypatch.setattr(leaks, "MOST_SEEDS", bound)
+    monkeypatch.setattr(leaks, "MOST_WORDS", bound)
     monkeypatch.setattr(leaks, "MOST_HITS", bound)
     docs, items = leak_rows(spark)
     found = leaks.overlaps(docs, items)
