@@ -12,7 +12,8 @@ speak by these longer words.
 
 Lengths at which the lengths of a source's texts pile up (the limit of a field)
 support this: a text of such a length was cut unless its last trigrams are those
-of the ends of texts. Markup that is left open at the end is the only other sign.
+of the ends of texts, or it ends in a full stop, which complete texts do so much
+oftener than cut ones that only a high pile outweighs it. Markup that is left open at the end is the only other sign.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ SHAPES = ((2, 1, 0), (1, 0), (0,), (2, 1), (3, 2, 1), (3, 2), (4, 3), (5, 4))
 SHOWN = 3
 #: Occurrences from which a trigram is heard, bound of its log odds, log odds at which it says nothing, and the sum from which a text is complete.
 HEARD, LOUD, SILENT, COMPLETE = 8, 6.0, -1.5, -3.0
-#: Last trigrams that are broadcast at most (256 MB), to count no others; beyond, all are counted.
-MOST_GRAMS = 4_000_000
+#: Last trigrams that are broadcast at most (128 MB), to count no others; beyond, all are counted.
+MOST_GRAMS = 2_000_000
 
 
 def _marked(text: Column) -> Column:
@@ -108,7 +109,7 @@ def endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 
 def different(ends: DataFrame) -> DataFrame:
-    """The different bodies of ``endings``, each once: ``body_hash, words, hashes, lettered, closed, markup, torn``.
+    """The different bodies of ``endings``, each once: ``body_hash, length, words, hashes, lettered, closed, markup, torn``.
 
     Ends of blocks are ``¶`` among the words, and signs that only separate are
     ``§``, except at the end. The flags tell whether the body ends in a letter,
@@ -123,14 +124,21 @@ def different(ends: DataFrame) -> DataFrame:
     closed = F.right("body", F.lit(24)).rlike(r"(?:</|\[/)[a-zA-Z]{1,20}[>\]]$")
     rows = ends.groupBy("body_hash").agg(F.first("body").alias("body"))
     rows = rows.select(
-        "body_hash", F.transform(F.array(_marked(body)), bound)[0].alias("words"), F.right("body", F.lit(1)).rlike(r"\p{L}").alias("lettered"), closed.alias("closed"),
+        "body_hash", F.length("body").alias("length"), F.transform(F.array(_marked(body)), bound)[0].alias("words"), F.right("body", F.lit(1)).rlike(r"\p{L}").alias("lettered"), closed.alias("closed"),
         open_markup(body).alias("markup"), body.endswith("\ufffd").alias("torn"),
     )
     return rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
 
 
+def full_stop_odds(texts: DataFrame) -> float:
+    """How many times likelier a complete text ends in a sentence mark than one cut at any character: from which odds of its length such a text was cut."""
+    words, last = F.col("words"), F.get("words", F.size("words") - 1)
+    r = texts.agg(F.avg((last == ".").cast("double")).alias("ends"), F.sum(F.size(F.filter(words, lambda w: w == "."))).alias("stops"), F.sum("length").alias("length")).first()  # one row
+    return r["ends"] * r["length"] / r["stops"] if r["stops"] else 0.0
+
+
 def field_limits(texts: DataFrame, least: int = 40, times: int = 8, around: int = 15, apart: int = 4) -> DataFrame:
-    """Lengths at which a source's texts pile up: ``source, unit, size``.
+    """Lengths at which a source's texts pile up: ``source, unit, size, odds``, the last being how many times more texts there are than usual.
 
     A length (in characters or in bytes, with and without white space or
     continuation dots at the end) counts as a limit if the source has
@@ -147,7 +155,7 @@ def field_limits(texts: DataFrame, least: int = 40, times: int = 8, around: int
     every = F.concat(F.sort_array("ms", asc=False), F.array_repeat(F.lit(0).cast("bigint"), 2 * around - F.size("ms")))
     middle = 2 * (around - apart)
     usual = F.aggregate(F.slice(every, apart + 1, middle), F.lit(0).cast("bigint"), lambda a, x: a + x) / middle
-    return same.where((F.col("n") >= times * usual) & (F.col("n") >= usual + 5 * F.sqrt(usual) + 4)).select("c.source", "c.unit", "c.size")
+    return same.where((F.col("n") >= times * usual) & (F.col("n") >= usual + 5 * F.sqrt(usual) + 4)).select("c.source", "c.unit", "c.size", (F.col("n") / F.greatest(usual, F.lit(0.5)) - 1).alias("odds"))
 
 
 def _sizes(text: Column, body: Column) -> Column:
@@ -156,11 +164,10 @@ def _sizes(text: Column, body: Column) -> Column:
 
 
 def at_limit(texts: DataFrame) -> DataFrame:
-    """Keys of texts as long as a limit of their source."""
+    """``key, odds`` of texts as long as a limit of their source."""
     limits = field_limits(texts)
     sizes = texts.select("key", "source", F.explode("sizes").alias("x")).select("key", "source", "x.unit", "x.size")
-    on = sizes["source"].eqNullSafe(limits["source"]) & (sizes["unit"] == limits["unit"]) & (sizes["size"] == limits["size"])
-    return sizes.join(limits, on, "left_semi").select("key").distinct()
+    return sizes.join(limits.withColumnsRenamed({"source": "_source", "unit": "_unit", "size": "_size"}), F.expr("source <=> _source and unit = _unit and size = _size")).groupBy("key").agg(F.max("odds").alias("odds"))
 
 
 def _shapes(places: list[Column]) -> Column:
@@ -193,10 +200,10 @@ def trigram_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def last_trigrams(texts: DataFrame) -> DataFrame:
-    """``body_hash, shape, gram`` of the different texts that end in a word or sign other than the end of a sentence, a block or an element."""
+    """``body_hash, shape, gram`` of the different texts that end in a word or sign other than the end of a sentence or block."""
     n = F.size("hashes")
     places = [F.coalesce(F.get("hashes", n - 1 - p), _hash("^")).alias(f"w{p}") for p in range(6)]
-    rows = texts.where((n > 0) & ~F.col("closed")).select("body_hash", *places).where(~F.col("w0").isin(_hash("."), _hash("¶"), _hash("§"), _hash("#dna")))
+    rows = texts.where(n > 0).select("body_hash", *places).where(~F.col("w0").isin(_hash("."), _hash("¶"), _hash("§"), _hash("#dna")))
     words = [F.when(F.col(f"w{p}") == _hash("¶"), _hash(".")).otherwise(F.col(f"w{p}")) for p in range(6)]
     return rows.select("body_hash", F.posexplode(_shapes(words)).alias("shape", "gram"))
 
@@ -266,9 +273,11 @@ def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     """Texts that were cut off: ``key, source, reason``.
 
     ``reason`` is ``limit`` (length of a field's limit, unless the last words
-    are those of text ends, or a mark such as ``[...]`` at the end), ``markup``
+    are those of text ends or end in a full stop while the limit's pile is too
+    low for that, or a mark such as ``[...]`` at the end), ``markup``
     (left open), ``word`` (half a word) or ``sentence`` (trigrams that always go
-    on, or dots apart behind a full stop), the first that holds. Null,
+    on, unless a closing tag follows, or dots apart behind a full stop), the
+    first that holds. Null,
     empty and blank texts and rows without a key are never cut; a null source
     is a source of its own; repeated rows of a key give one row. Copies of a
     text (the same up to white space and dots at the end) count as one text in
@@ -277,10 +286,11 @@ def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     ends = stable(endings(docs, key, text, source)).where("length(body) > 0")
     texts = stable(different(ends))
     scored = scores(texts)
-    signs = texts.select("body_hash", "markup", "torn").join(scored, "body_hash", "left")
-    flags = ends.select("key", "source", "body_hash", "said", "apart").join(at_limit(ends).withColumn("limit", F.lit(True)), "key", "left").join(signs, "body_hash")
-    is_limit = F.col("limit") & F.coalesce(F.col("final") <= 0, F.lit(True))
-    is_cut = F.col("score") < COMPLETE
+    stopped = F.coalesce(F.get("words", F.size("words") - 1) == ".", F.lit(False))
+    signs = texts.select("body_hash", "markup", "torn", "closed", stopped.alias("stopped")).join(scored, "body_hash", "left")
+    flags = ends.select("key", "source", "body_hash", "said", "apart").join(at_limit(ends), "key", "left").join(signs, "body_hash")
+    is_limit = (F.col("odds") > F.when(F.col("stopped"), full_stop_odds(texts)).otherwise(0.0)) & F.coalesce(F.col("final") <= 0, F.lit(True))
+    is_cut = (F.col("score") < COMPLETE) & ~F.col("closed")
     reason = (
         F.when(is_limit | F.col("said"), "limit").when(F.col("markup"), "markup")
         .when((F.col("half") & is_cut) | F.col("torn"), "word").when(is_cut | F.col("apart"), "sentence")

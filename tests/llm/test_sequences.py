@@ -179,6 +179,15 @@ def test_frequent_items_are_exact(spark, rows):
     assert frequent.frequent_items(nothing, "id", F.col("m"), F.col("w"), 0.01).count() == 0
 
 
+@pytest.mark.parametrize("width", [1, 2, 8])
+def test_items_that_share_every_bucket_are_found(spark, rows, width):
+    """With so few buckets heavier items hide others on all levels; these are counted all the same."""
+    data = [(i, x) for i, x in enumerate(["a"] * 300 + ["b"] * 200 + ["c"] * 150 + ["d"] * 30 + [f"x{j}" for j in range(320)])]
+    df = spark.createDataFrame(data + data[:100], "id long, m string").repartition(4)
+    got = rows(frequent.frequent_items(df, "id", F.col("m"), F.lit(1), 0.1, width=width))
+    assert got == [("a", 300, 1000), ("b", 200, 1000), ("c", 150, 1000)]
+
+
 def test_one_strand(spark):
     df = spark.createDataFrame([("AAC",), (" gtt",), ("acn",), ("",), (None,)], "m string")
     assert [r[0] for r in df.select(frequent.one_strand(F.col("m"))).collect()] == ["aac", "aac", None, None, None]
