@@ -347,15 +347,11 @@ class SingleGap:
         for k in range(n):
             make.reverse_state(got, k, None)
         on, into, past = (got.parameter(p) for p in (1.0, p_gap, 1 - p_gap))
-        for k in range(n - 1):
-            gap = k + 1 == self.gap
-            got.link(k, k + 1, into if gap else on)
-            if gap:
-                got.link(k, k + 2, past)
-            gap = k == self.gap
-            got.link(n + k + 1, n + k, into if gap else on)
-            if gap:
-                got.link(n + k + 1, n + k - 1, past)
+        for strand, gap in ((list(range(n)), self.gap), ([n + k for k in range(n)][::-1], n + self.gap)):
+            for a, b in zip(strand, strand[1:]):
+                got.link(a, b, into if b == gap else on)
+            at = strand.index(gap)
+            got.link(strand[at - 1], strand[at + 1], past)
         return got, [0, 2 * n - 1], [n - 1, n]
 
     def complete(self, p_gap: float, rows: Rows, p_site: float) -> HiddenModel:
