@@ -109,11 +109,12 @@ def endings(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
 
 
 def different(ends: DataFrame) -> DataFrame:
-    """The different bodies of ``endings``, each once: ``body_hash, length, words, hashes, lettered, closed, markup, torn``.
+    """The different bodies of ``endings``, each once: ``body_hash, length, words, hashes, stops, stopped, lettered, closed, markup, torn``.
 
     Ends of blocks are ``¶`` among the words, and signs that only separate are
-    ``§``, except at the end. The flags tell whether the body ends in a letter,
-    with a closing tag, within markup or within a character.
+    ``§``, except at the end; ``stops`` counts the sentence marks. The flags tell
+    whether the body ends in a sentence mark, in a letter, with a closing tag,
+    within markup or within a character.
     """
 
     def bound(words: Column) -> Column:
@@ -127,13 +128,13 @@ def different(ends: DataFrame) -> DataFrame:
         "body_hash", F.length("body").alias("length"), F.transform(F.array(_marked(body)), bound)[0].alias("words"), F.right("body", F.lit(1)).rlike(r"\p{L}").alias("lettered"), closed.alias("closed"),
         open_markup(body).alias("markup"), body.endswith("\ufffd").alias("torn"),
     )
-    return rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    n, stops = F.size("words"), F.size("words") - F.size(F.array_remove("words", F.lit(".")))
+    return rows.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "stops": stops, "stopped": F.coalesce(F.get("words", n - 1) == ".", F.lit(False))})
 
 
 def full_stop_odds(texts: DataFrame) -> float:
     """How many times likelier a complete text ends in a sentence mark than one cut at any character: from which odds of its length such a text was cut."""
-    words, last = F.col("words"), F.get("words", F.size("words") - 1)
-    r = texts.agg(F.avg((last == ".").cast("double")).alias("ends"), F.sum(F.size(F.filter(words, lambda w: w == "."))).alias("stops"), F.sum("length").alias("length")).first()  # one row
+    r = texts.agg(F.avg(F.col("stopped").cast("double")).alias("ends"), F.sum("stops").alias("stops"), F.sum("length").alias("length")).first()  # one row
     return r["ends"] * r["length"] / r["stops"] if r["stops"] else 0.0
 
 
@@ -286,8 +287,7 @@ def cut_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     ends = stable(endings(docs, key, text, source)).where("length(body) > 0")
     texts = stable(different(ends))
     scored = scores(texts)
-    stopped = F.coalesce(F.get("words", F.size("words") - 1) == ".", F.lit(False))
-    signs = texts.select("body_hash", "markup", "torn", "closed", stopped.alias("stopped")).join(scored, "body_hash", "left")
+    signs = texts.select("body_hash", "markup", "torn", "closed", "stopped").join(scored, "body_hash", "left")
     flags = ends.select("key", "source", "body_hash", "said", "apart").join(at_limit(ends), "key", "left").join(signs, "body_hash")
     is_limit = (F.col("odds") > F.when(F.col("stopped"), full_stop_odds(texts)).otherwise(0.0)) & F.coalesce(F.col("final") <= 0, F.lit(True))
     is_cut = (F.col("score") < COMPLETE) & ~F.col("closed")
