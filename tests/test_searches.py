@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.models.builders import Motif
 from strandloom.models.hidden import dense
-from strandloom.operators import infer, kmers, pssm, train
+from strandloom.operators import infer, kmers, learn, pssm, train
 
 SEQ = "seq_id long, obs array<int>"
 
@@ -58,3 +58,36 @@ def test_expected_counts_against_the_trellis(spark, model):
                 a += alpha[0, t - 1][:, None] * model.a * (emit[x] * beta[0, t] / sums[0, t])
     assert got.impossible == bad and got.ll == pytest.approx(ll)
     assert np.allclose(got.pi, pi) and np.allclose(got.a, a) and np.allclose(got.b, b[:, : model.symbols])
+
+
+@pytest.mark.parametrize("model", [Motif(3, 0.1).model(), dense([0.5, 0.5], [[0.9, 0.1], [0.2, 0.8]], [[0.5, 0.3, 0.2, 0], [0.1, 0.4, 0.5, 0]])])
+def test_paths_against_all_predecessors(spark, model):
+    rows = [*random_obs(40), (90, None), (91, [])]
+    log_pi, log_a, log_b = model.logs()
+    want = {}
+    for i, obs in rows:
+        phi, came = None, []
+        for x in obs or []:
+            ways = None if phi is None else phi[:, None] + log_a
+            came.append(None if phi is None else [max(np.flatnonzero(w == w.max())) for w in ways.T])
+            phi = (log_pi if phi is None else ways.max(0)) + log_b[:, x]
+        path = None if obs is None else []
+        if obs:
+            path = [int(phi.argmax())] if np.isfinite(phi.max()) else None
+            for c in came[:0:-1] if path else []:
+                path.insert(0, int(c[path[0]]))
+        want[i] = path, None if obs is None else 0 if not obs else phi.max()
+    for r in infer.best_paths(spark.createDataFrame(rows, SEQ), model).collect():
+        path, log_p = want[r["seq_id"]]
+        assert r["path"] == path and r["log_p"] == (log_p if log_p is None else pytest.approx(log_p))
+
+
+def test_several_motifs_train_on_sequences_packed_once(spark, monkeypatch):
+    """Each search for a motif packs its sequences once, however many shifts it trains; packed or not, training gives the same."""
+    packed, calls = train.packed, []
+    monkeypatch.setattr(train, "packed", lambda s, m: calls.append(1) or packed(s, m))
+    df, motif = spark.createDataFrame(random_obs(30), SEQ), Motif(4, 0.05, least_information=0.0)
+    learn.learn_several(df, motif, find=1, attempts=1, most=2)
+    assert len(calls) == 1
+    one, two = (train.train(x, motif.model(), most=3)[1] for x in (df, train.held(df, motif.model())))
+    assert one == pytest.approx(two)
